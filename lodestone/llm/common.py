@@ -70,6 +70,29 @@ def connected(edges: DataFrame) -> DataFrame:
         state = tuple(now)
 
 
+def merged(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """Groups (node, component) after more edges (a, b) between nodes that may lie in them."""
+    if more.isEmpty():
+        return groups
+    of = groups.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    ends = more.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left")
+    joined = connected(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    alone = joined.select(F.col("node"), F.col("node").alias("component")).join(groups, "node", "left_anti")
+    far = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    # A component is named by its smallest node, which has a row of its own in groups or stands alone.
+    return groups.unionByName(alone).join(far, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+
+
+#: Rows up to which small() broadcasts.
+BROADCAST = 500_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
+    """df cut off from its lineage, and broadcast if a count finds at most so many rows; otherwise joins shuffle it."""
+    df = checkpoint(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 # Hashing of bytes, vectorised.
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

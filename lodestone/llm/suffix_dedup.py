@@ -14,7 +14,7 @@ repeat of min_bytes - v + 1 bytes between two sampled positions.
    by their first min_bytes bytes; names are sorted again and adjacent ones compared. Equal neighbours are repeats.
 
 Documents are dealt out once, by a hash of doc_id, into batches of bounded size; what is shuffled besides is
-4 bytes for each sampled name and 8 for each merged one, packed by (batch, bucket), with the names that a batch
+4 bytes for each sampled name and 7 for each merged one (the bucket tells the rest), packed by (batch, bucket), with the names that a batch
 holds several times sent once. The answer is one bit for each name. So a passage that a third of all documents
 hold costs no more than any other. The number of batches and buckets grows with the input.
 """
@@ -22,9 +22,11 @@ hold costs no more than any other. The number of batches and buckets grows with
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,12 +61,21 @@ def cover(min_bytes: int) -> tuple[int, list[int]]:
     return best
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as the shuffle is to carry them."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("data")
+        yield batch.set_column(at, "data", pa.array([pack(x or b"") for x in batch.column(at).to_pylist()], pa.binary()))
+
+
 class _Batch:
     """The documents of a batch in a fixed order, and the steps on them, each a function of texts and answers only."""
 
     def __init__(self, docs: pa.Table, min_bytes: int, v: int, residues: list[int], buckets: int):
         ids = docs["doc_id"].to_pylist()
-        texts = [x or b"" for x in docs["data"].to_pylist()]
+        unpack = zstandard.ZstdDecompressor().decompress
+        texts = [unpack(x) for x in docs["data"].to_pylist()]
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, texts[i]))
         self.ids, self.texts = [ids[i] for i in order], [texts[i] for i in order]
         self.min_bytes, self.v, self.buckets = min_bytes, v, buckets
@@ -113,11 +124,11 @@ class _Batch:
 
     def packed(self, names: np.ndarray, batch: int, wide: bool) -> pa.Table:
         u, _, twice, _, bounds = self.grouped(names, wide)
-        u = u if wide else u.astype(np.uint32)
+        data = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if wide else 4]
         rows = [k for k in range(self.buckets) if bounds[k] < bounds[k + 1]]
         return pa.table({
             "batch": pa.array([batch] * len(rows), pa.int64()), "bucket": pa.array(rows, pa.int64()),
-            "names": pa.array([u[bounds[k] : bounds[k + 1]].tobytes() for k in rows], pa.binary()),
+            "names": pa.array([data[bounds[k] : bounds[k + 1]].tobytes() for k in rows], pa.binary()),
             "twice": pa.array([np.packbits(twice[bounds[k] : bounds[k + 1]]).tobytes() for k in rows], pa.binary()),
         })
 
@@ -131,11 +142,13 @@ class _Batch:
         return found[place]
 
 
-def _compare(bucket: pa.Table, dtype: type) -> pa.Table:
-    """Sort the names of a bucket and compare neighbours; answer each batch with a bit for each of its names."""
-    parts = [np.frombuffer(x.as_py(), dtype) for x in bucket["names"]]
-    sizes = [len(x) for x in parts]
-    names = np.concatenate(parts)
+def _compare(bucket: pa.Table, width: int) -> pa.Table:
+    """Sort the names of a bucket, of width bytes each, and compare neighbours; answer each batch with a bit for each of its names."""
+    parts = [x.as_py() for x in bucket["names"]]
+    sizes = [len(x) // width for x in parts]
+    wide = np.zeros((sum(sizes), 8 if width > 4 else 4), np.uint8)
+    wide[:, :width] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, width)
+    names = wide.view(np.uint64 if width > 4 else np.uint32).ravel()
     found = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=n) for x, n in zip(bucket["twice"], sizes, strict=True)]).astype(bool)
     order = np.argsort(names, kind="stable")
     same = names[order[1:]] == names[order[:-1]]
@@ -164,7 +177,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH
     v, residues = cover(min_bytes)
     count = max(4, -(-2 * input_bytes(docs) // batch_bytes))
     args = (min_bytes, v, residues, count)
-    data = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"), F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("batch"))
+    data = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInArrow(_compressed, "batch long, doc_id long, data binary")
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
         b = _Batch(t, *args)
@@ -199,8 +212,8 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH
     packed = "batch long, bucket long, names binary, twice binary"
     answer = "batch long, bucket long, bits binary"
     by_batch = data.groupBy("batch")
-    sampled = by_batch.applyInArrow(first, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, np.uint32), answer).withColumn("level", F.lit(0))
-    merged = by_batch.cogroup(sampled.groupBy("batch")).applyInArrow(second, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, np.uint64), answer).withColumn("level", F.lit(1))
+    sampled = by_batch.applyInArrow(first, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, 4), answer).withColumn("level", F.lit(0))
+    merged = by_batch.cogroup(sampled.groupBy("batch")).applyInArrow(second, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, 7), answer).withColumn("level", F.lit(1))
     return by_batch.cogroup(sampled.unionByName(merged).groupBy("batch")).applyInArrow(third, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
