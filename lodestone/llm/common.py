@@ -137,12 +137,20 @@ _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word of a text, in order, as words() splits it but for capitals beyond A-Z, which are lowered too."""
+def word_hashes(text: str | None, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word of a text, in order, as words() splits it but for capitals beyond A-Z, which are lowered too.
+
+    For each number in prefixes the hashes of the first so many bytes of every longer word follow.
+    """
     data = (text or "").lower().encode("utf-8", "replace")
     if not data:
         return np.zeros(0, np.uint64)
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = _WORD[np.frombuffer(data, np.uint8)]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
-    return span_hash(prefix_hash(data), edges[::2], edges[1::2])
+    start, end, h = edges[::2], edges[1::2], prefix_hash(data)
+    parts = [span_hash(h, start, end)]
+    for n in prefixes:
+        longer = start[end - start > n]
+        parts.append(span_hash(h, longer, longer + n))
+    return np.concatenate(parts) if prefixes else parts[0]

@@ -2,7 +2,7 @@
 
 The categories are predicted one after the other; a later model also sees the probabilities of the earlier ones. What it sees in
 training are out-of-fold predictions: the earlier model is fitted anew without a fold to predict it, so that the
-later one meets probabilities as uncertain as they will be. Features are the presence and share of words that tell toxic texts from others.
+later one meets probabilities as uncertain as they will be. Features are the presence and share of words, and of beginnings of words, that tell toxic texts from others.
 
 The labels table marks `toxic` alone. Two finer categories come before it in the chain: a toxic text is also an `insult` or
 a `degradation` if it holds a word of that list.
@@ -22,14 +22,20 @@ from lodestone.llm.linear import crc, logistic, sample, sigmoid
 
 #: Rows of each label that a fit uses, at most (about), and the words that it picks as features.
 EACH, VOCABULARY, FOLDS = 4000, 300, 5
+#: Bytes of a word's beginning that are features too, so that inflected and compound forms count.
+PREFIXES = (4, 5, 6, 7, 8)
 LEXICON = {
     "insult": "idiot moron stupid clown loser fool dumb".split(),
     "degradation": "trash scum worthless pathetic disgusting vermin filth".split(),
 }
 
 
+def hashes(text: str | None) -> np.ndarray:
+    return word_hashes(text, PREFIXES)
+
+
 def word_sets(texts: list[str | None]) -> list[bytes]:
-    return [np.unique(word_hashes(t)).tobytes() for t in texts]
+    return [np.unique(hashes(t)).tobytes() for t in texts]
 
 
 class Model:
@@ -109,7 +115,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 texts = part["text"].to_pylist()
-                p = model.predict(np.stack([model.present(word_hashes(t)) for t in texts])) if model else np.zeros((len(texts), len(names)))
+                p = model.predict(np.stack([model.present(hashes(t)) for t in texts])) if model else np.zeros((len(texts), len(names)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(x) for x in p.T)], ["doc_id", *(f"p_{n}" for n in names)])
 
     return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'p_{n} double' for n in names)}")
