@@ -128,6 +128,24 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is told with a score of at least `least`. Texts aren't shuffled.
+
+    Texts that are `und` go, and without a model every text is.
+    """
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, good = batch["text"].to_pylist(), []
+            for k in range(0, len(texts), 128):
+                part = texts[k : k + 128]
+                scores = model.predict(features(part))[1] if model is not None else np.zeros(len(part))
+                good += [has_letter(t) and s >= least and model is not None for t, s in zip(part, scores, strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(F.pmod(crc(), F.lit(3)) != 1))
