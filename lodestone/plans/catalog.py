@@ -1,4 +1,13 @@
 """The queries on the driver's tables and the SQL that has to give the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.plans import mining_queries
+
+_PARTS = (mining_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.SQL.items()}
