@@ -41,7 +41,8 @@ def split_by_order(df: DataFrame, order: list[str], share: float = 0.7, buckets:
     The cut is found by counting: rows are counted by buckets of the first column, and only the bucket that holds the cut is ordered.
     So no task sorts all rows, whatever their number.
     """
-    first = F.col(order[0]).cast("double")
+    first = F.col(order[0])
+    first = (first.cast("timestamp") if dict(df.dtypes)[order[0]].startswith("timestamp") else first).cast("double")
     r = df.agg(F.count("*"), F.min(first), F.max(first)).first()
     n, low, high = int(r[0]), r[1], r[2]
     cut = max(1, min(n - 1, int(n * share))) if n >= 20 else n
@@ -56,5 +57,8 @@ def split_by_order(df: DataFrame, order: list[str], share: float = 0.7, buckets:
     edge = df.where(bucket == F.lit(at)).orderBy(*order).limit(cut - before).orderBy(*(F.col(c).desc() for c in order)).limit(1).first() if at is not None else None
     if edge is None:
         return df.withColumn("part", F.lit("reference"))
-    inside = F.struct(*order) <= F.struct(*(F.lit(edge[c]) for c in order))
+    inside = F.lit(True)
+    for c in reversed(order):
+        at = F.lit(edge[c]).cast(dict(df.dtypes)[c])
+        inside = (F.col(c) < at) | ((F.col(c) == at) & inside)
     return df.withColumn("part", F.when(inside, "reference").otherwise("current"))
