@@ -158,8 +158,8 @@ def _compare(bucket: pa.Table, width: int) -> pa.Table:
     for n in sizes:
         out.append(np.packbits(found[k : k + n]).tobytes() if found[k : k + n].any() else None)
         k += n
-    keep = [i for i, x in enumerate(out) if x is not None]
-    return pa.table({"batch": bucket["batch"].take(keep), "bucket": bucket["bucket"].take(keep), "bits": pa.array([out[i] for i in keep], pa.binary())})
+    keep = pa.array([i for i, x in enumerate(out) if x is not None], pa.int64())
+    return pa.table({"batch": bucket["batch"].take(keep), "bucket": bucket["bucket"].take(keep), "bits": pa.array([x for x in out if x is not None], pa.binary())})
 
 
 def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH_BYTES) -> DataFrame:
