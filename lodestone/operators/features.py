@@ -9,11 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.information import finite
+from lodestone.operators.binning import kind_of
 
 
 def zero_variance(df: DataFrame) -> list[str]:
-    """Columns with at most one distinct value, missing ones aside."""
-    r = df.agg(*(F.count_distinct(c).alias(c) for c in df.columns)).first()
+    """Columns with at most one distinct value, missing and non-finite ones aside."""
+    r = df.agg(*(F.count_distinct(finite(c) if kind_of(df, c) == "float" else F.col(c)).alias(c) for c in df.columns)).first()
     return [c for c in df.columns if r[c] <= 1]
 
 

@@ -93,3 +93,24 @@ def test_samples_and_folds_dont_depend_on_partitions(spark):
     pick = lambda x: {r.id for r in features.stratified_sample(x, "id", "label", 0.1).collect()}
     assert pick(df) == pick(df.repartition(7)) and 350 < len(pick(df)) < 650
     assert features.folds(df, "id").where("fold = validation").count() == 0
+
+
+def test_grid_is_checked_and_shares_work(spark, sf):
+    from lodestone.operators import tuning
+
+    with pytest.raises(ValueError, match="can't vary"):
+        tuning.expand({"depth": [1]})
+    assert len(tuning.expand(tuning.GRIDS["standard"])) == 8
+    df = frame(spark, sf, "score_hi").limit(2000)
+    got = tuning.tune(df, THREE, {"bins": [4], "length": [1, 2], "top": [8]}, folds=2)
+    assert got.score == max(r["auc"] for r in got.results) > 0.9 and got.fit.patterns
+
+
+def test_resampled_classes_are_of_about_one_size(spark):
+    from lodestone.operators import tuning
+
+    df = spark.range(4000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
+    for how, size in (("under", 400), ("over", 3600)):
+        counts = {r[0]: r[1] for r in tuning.resample(df, "id", how=how).groupBy("label").count().collect()}
+        assert all(abs(n - size) < 0.15 * size for n in counts.values())
+    assert {round(r.weight, 3) for r in tuning.class_weights(df).select("weight").distinct().collect()} == {0.556, 5.0}
