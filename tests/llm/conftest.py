@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-VOCABULARY = [f"w{k}" for k in range(300)]
+VOCABULARY = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(300)]
 
 
 def text(rng, n):

@@ -132,7 +132,7 @@ def test_proximity(spark):
 
 
 def norm(line):
-    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[0-9]+", "0", line).lower()) if w]
+    return [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", line.lower()) if w]
 
 
 def edit(a, b):
