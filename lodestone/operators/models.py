@@ -19,9 +19,9 @@ def with_probability(train: DataFrame, df: DataFrame, label: str, out: str, feat
     n, mean = train.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
     if n == 0 or mean in (0.0, 1.0):
         return df.withColumn(out, F.lit(mean or 0.0))
-    model = LogisticRegression(featuresCol=features, labelCol="_label", elasticNetParam=l1 / (l1 + l2), regParam=(l1 + l2) / (c * n), standardization=False, maxIter=100, probabilityCol="_p", predictionCol="_c", rawPredictionCol="_r")
+    model = LogisticRegression(featuresCol=features, labelCol="_label", elasticNetParam=l1 / (l1 + l2), regParam=(l1 + l2) / (c * n), standardization=False, maxIter=100, probabilityCol="_lr_p", predictionCol="_lr_c", rawPredictionCol="_lr_r")
     fitted = model.fit(train.withColumn("_label", F.col(label).cast("double")))
-    return fitted.transform(df).withColumn(out, vector_to_array("_p")[1]).drop("_p", "_c", "_r")
+    return fitted.transform(df).withColumn(out, vector_to_array("_lr_p")[1]).drop("_lr_p", "_lr_c", "_lr_r", "_label")
 
 
 def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
