@@ -59,3 +59,38 @@ def model_card(fit: Fit, name: str, intended: str = "", limits: Sequence[str] =
         "columns": [{"name": b.name, "kind": b.kind, "bins": b.size} for b in fit.bins],
         "patterns": [{"pattern": p.name, "support": p.support, "utility": round(p.utility, 6), "ig": round(p.ig, 6)} for p in fit.patterns],
     }, indent=2)
+
+
+def stability(a: DataFrame, b: DataFrame, top: int = 20) -> DataFrame:
+    """One row: Jaccard similarity of the top patterns by gain of two fits (pattern, ig), and the rank correlation of the gains of shared ones.
+
+    Tables of patterns are small; ranks average ties.
+    """
+    from pyspark.sql import Window
+
+    def ranked(df: DataFrame, name: str) -> DataFrame:
+        best = df.orderBy(F.desc("ig"), "pattern").limit(top)
+        r = F.rank().over(Window.partitionBy(F.lit(0)).orderBy("ig")) + (F.count("*").over(Window.partitionBy("ig")) - 1) / 2
+        return best.select("pattern", r.alias(name))
+
+    both = ranked(a, "x").join(ranked(b, "y"), "pattern", "full")
+    shared = F.sum((F.col("x").isNotNull() & F.col("y").isNotNull()).cast("int"))
+    return both.agg(F.round(F.try_divide(shared, F.count("*")), 6).alias("jaccard"), shared.alias("shared"), F.round(F.nanvl(F.corr("x", "y"), F.lit(None).cast("double")), 6).alias("rank_correlation"))
+
+
+def bill_of_materials(names: Sequence[str] = ("pyspark", "numpy", "pyarrow", "pandas")) -> str:
+    """Installed versions of what the library stands on, as JSON."""
+    from importlib.metadata import PackageNotFoundError, version
+
+    out = []
+    for name in names:
+        try:
+            out.append({"name": name, "version": version(name)})
+        except PackageNotFoundError:
+            continue
+    return json.dumps({"components": out}, indent=2)
+
+
+def audit(fit: Fit, log: Sequence[dict]) -> str:
+    """What mining tried and what came of it, as JSON."""
+    return json.dumps({"attempts": list(log), "patterns": len(fit.patterns), "items": len(fit.items), "rows": sum(fit.totals)}, indent=2)
