@@ -21,7 +21,7 @@ from lodestone.llm.common import table, word_hashes
 from lodestone.llm.linear import adam, crc, dense, platt, sample, sigmoid, undense
 
 #: Trusted, unlabelled and (for calibration alone) bad rows that a fit uses, at most (about).
-EACH = 4000
+EACH = 2500
 THRESHOLD = 0.7
 
 _MARKS = b".,!?#$%&*|-_\"'():;/"
@@ -68,11 +68,12 @@ class Model:
 
     def __init__(self, good: np.ndarray, unlabelled: np.ndarray, prior: float, bad: np.ndarray | None = None, epochs: int = 30):
         self.prior = prior
-        both = np.concatenate([good, unlabelled]).astype(float)
-        self.mean, self.scale = both.mean(axis=0), both.std(axis=0) + 0.02
-        p, u = self.scaled(good), self.scaled(unlabelled)
-        mixed = np.concatenate([p, u])
-        n_good = len(p)
+        mixed = np.concatenate([good, unlabelled])
+        self.mean, self.scale = mixed.mean(axis=0, dtype=np.float64).astype(np.float32), (mixed.std(axis=0, dtype=np.float64) + 0.02).astype(np.float32)
+        mixed -= self.mean  # in place: the driver holds one copy of the sample
+        mixed /= self.scale
+        np.clip(mixed, -8, 8, out=mixed)
+        n_good = len(good)
 
         def gradient(w: np.ndarray, i: np.ndarray) -> np.ndarray:
             i_p, i_u = i[i < n_good], i[i >= n_good]
