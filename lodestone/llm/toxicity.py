@@ -21,7 +21,7 @@ from lodestone.llm.common import table, word_hashes
 from lodestone.llm.linear import crc, logistic, sample, sigmoid
 
 #: Rows of each label that a fit uses, at most (about), and the words that it picks as features.
-EACH, VOCABULARY, FOLDS = 4000, 300, 5
+EACH, VOCABULARY, FOLDS = 2000, 300, 5
 #: Bytes of a word's beginning that are features too, so that inflected and compound forms count.
 PREFIXES = (4, 5, 6, 7, 8)
 LEXICON = {
