@@ -198,6 +198,29 @@ def test_masks_catch_every_pair_within_three_bits(lines):
         assert any((a ^ b) & m == 0 for m in masks)
 
 
+def test_similar_lines_as_by_edit_similarity_alone(spark):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
+    lines = []
+    for n in [4, 6, 8, 12, 15, 20, 30, 45, 60, 100] * 8:
+        w = [rng.choice(base) for _ in range(n)]
+        v = list(w)
+        k = rng.randrange(n)
+        v[k] = rng.choice([rng.choice(base), v[k][:1] + "q" + v[k][2:]])
+        lines += [" ".join(w), " ".join(v)]
+    similar = [(a, b) for a, b in zip(lines[::2], lines[1::2], strict=True) if a != b and edit(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9]
+    # By plain edit similarity, without any SimHash, the second line of each such pair goes.
+    gone = {b for _, b in similar}
+    got = line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), bits=None).collect()
+    dropped = {lines[r.doc_id] for r in got if r.n_dropped}
+    assert dropped <= gone and len(dropped) >= 0.97 * len(gone) and len(gone) > 60
+
+
+def test_similar_lines_of_odd_input(odd, empty):
+    assert line_dedup.dedup_lines(odd, bits=None).count() == odd.count()
+    assert line_dedup.dedup_lines(empty, bits=None).count() == 0
+
+
 def test_lines_of_odd_input(odd, empty):
     rows = line_dedup.dedup_lines(odd).collect()
     assert len(rows) == odd.count() and set(rows[0].asDict()) == {"doc_id", "text", "key", "n_lines", "n_dropped"}
