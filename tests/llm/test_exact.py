@@ -216,6 +216,14 @@ def test_similar_lines_as_by_edit_similarity_alone(spark):
     assert dropped <= gone and len(dropped) >= 0.97 * len(gone) and len(gone) > 60
 
 
+def test_numbers_are_words_of_a_line(spark):
+    docs = [(1, "12 34 56\nsee page 7 now"), (2, "12 34 56\nsee page now"), (3, "12 34 56 78\nsee page 19 now"), (4, "...\n12 34 56")]
+    words = spark.createDataFrame([("12 34 56",), ("a1b, 22",), ("...",)], "line string").select(line_dedup.normalised(F.col("line")).alias("w")).collect()
+    assert [r.w for r in words] == [["0", "0", "0"], ["a0b", "0"], []]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), 0.95, None).collect()}
+    assert got == {1: docs[0][1], 2: "see page now", 3: "12 34 56 78", 4: "..."}
+
+
 def test_similar_lines_of_odd_input(odd, empty):
     assert line_dedup.dedup_lines(odd, bits=None).count() == odd.count()
     assert line_dedup.dedup_lines(empty, bits=None).count() == 0
