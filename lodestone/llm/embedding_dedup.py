@@ -114,40 +114,50 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16, pr
     total = classes.count()
     share = min(1.0, SAMPLE / max(1, total))
     picked = classes.where(F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 30)) < share * float(1 << 30)).select("key", "unit").collect()
-    width = max((len(r[1]) for r in picked), default=8) // 8
-    sample = np.array([np.frombuffer(r[1], np.float64) for r in sorted(picked) if len(r[1]) == 8 * width]).reshape(-1, width)
-    quantiser = Quantiser(sample, max(1, min(4096, int(np.sqrt(total) / 4))), cosine, parts, probes) if len(sample) else None
+    # Vectors link with those of their own length only, so each length has a quantiser, fitted on its share of the sample, or on a few vectors if that has none.
+    lengths = {r["size"] // 8: r["n"] for r in classes.groupBy(F.octet_length("unit").alias("size")).agg(F.count("*").alias("n")).collect()}
+    samples = {}
+    for r in sorted(picked):
+        samples.setdefault(len(r[1]) // 8, []).append(r[1])
+    missing = [8 * k for k in lengths if k not in samples]
+    if missing:
+        for r in classes.where(F.octet_length("unit").isin(missing)).groupBy(F.octet_length("unit").alias("size")).agg(F.min("unit").alias("unit")).collect():
+            samples[r["size"] // 8] = [r["unit"]]
+    quantisers = {k: Quantiser(np.array([np.frombuffer(u, np.float64) for u in samples[k]]), max(1, min(4096, int(np.sqrt(n) / 4))), cosine, parts, probes) for k, n in lengths.items()}
 
     def dealt(batches):
         """A row for the code in its own list and one for each list that the vector probes."""
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 part = batch.slice(k, 512)
                 units = [u.as_py() for u in part["unit"]]
-                good = [i for i, u in enumerate(units) if len(u) == 8 * width]
-                x = np.array([np.frombuffer(units[i], np.float64) for i in good]).reshape(-1, width)
-                own = nearest(x, quantiser.coarse)
-                codes = quantiser.encode(x - quantiser.coarse[own]) if len(x) else np.zeros((0, 1), np.uint8)
                 rows = []
-                for i, c, code, probes_ in zip(good, own, codes, quantiser.probed(x) if len(x) else [], strict=True):
-                    rep, copies = part["rep"][i].as_py(), part["copies"][i].as_py()
-                    rows.append((int(c), False, rep, copies, units[i], code.tobytes()))
-                    rows += [(int(p), True, rep, copies, units[i], None) for p in probes_]
-                yield pa.RecordBatch.from_arrays([pa.array(list(col), kind) for col, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())], ["list", "query", "rep", "copies", "unit", "code"])
+                for width in sorted({len(u) // 8 for u in units}):
+                    quantiser, good = quantisers[width], [i for i, u in enumerate(units) if len(u) == 8 * width]
+                    x = np.array([np.frombuffer(units[i], np.float64) for i in good])
+                    own = nearest(x, quantiser.coarse)
+                    codes = quantiser.encode(x - quantiser.coarse[own])
+                    for i, c, code, probes_ in zip(good, own, codes, quantiser.probed(x), strict=True):
+                        rep, copies = part["rep"][i].as_py(), part["copies"][i].as_py()
+                        rows.append((width, int(c), False, rep, copies, units[i], code.tobytes()))
+                        rows += [(width, int(p), True, rep, copies, units[i], None) for p in probes_]
+                yield pa.RecordBatch.from_arrays([pa.array(list(col), kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["width", "list", "query", "rep", "copies", "unit", "code"])
 
     def search(key, t):
-        return _search(quantiser, cosine, width, t)
+        width = t["width"][0].as_py()
+        return _search(quantisers[width], cosine, width, t)
 
-    if quantiser is None:
+    if not quantisers:
         found = scaled.sparkSession.createDataFrame([], "a long, b long, n long")
     else:
-        rows = classes.select("rep", "copies", "unit").mapInArrow(dealt, "list long, query boolean, rep long, copies long, unit binary, code binary")
-        sizes = rows.groupBy("list").agg(F.ceil(F.sum((~F.col("query")).cast("int")) / BLOCK).alias("cb"), F.ceil(F.sum(F.col("query").cast("int")) / (2 * BLOCK)).alias("qb"))
-        cut = rows.join(F.broadcast(sizes.where("cb > 0")), "list")  # at most a row for each of 4096 lists
+        rows = classes.select("rep", "copies", "unit").mapInArrow(dealt, "width long, list long, query boolean, rep long, copies long, unit binary, code binary")
+        sizes = rows.groupBy("width", "list").agg(F.ceil(F.sum((~F.col("query")).cast("int")) / BLOCK).alias("cb"), F.ceil(F.sum(F.col("query").cast("int")) / (2 * BLOCK)).alias("qb"))
+        cut = rows.join(F.broadcast(sizes.where("cb > 0")), ["width", "list"])  # at most a row for each of 4096 lists of a length
         mine = F.pmod(F.xxhash64("rep"), F.when(F.col("query"), F.col("qb")).otherwise(F.col("cb")))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("query"), F.col("cb")).otherwise(F.col("qb")) - 1))
-        blocks = cut.select("*", mine.alias("mine"), other.alias("other")).select("list", F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")).alias("q"), F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")).alias("c"), "query", "rep", "copies", "unit", "code")
-        found = checkpoint(blocks.groupBy("list", "q", "c").applyInArrow(search, "a long, b long, n long"))
+        blocks = cut.select("*", mine.alias("mine"), other.alias("other")).select("width", "list", F.when(F.col("query"), F.col("mine")).otherwise(F.col("other")).alias("q"), F.when(F.col("query"), F.col("other")).otherwise(F.col("mine")).alias("c"), "query", "rep", "copies", "unit", "code")
+        found = checkpoint(blocks.groupBy("width", "list", "q", "c").applyInArrow(search, "a long, b long, n long"))
     counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     groups = connected(found.where("b is not null").select("a", "b"))
     reps = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))

@@ -117,6 +117,19 @@ def test_vectors_as_by_comparing_all_pairs(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("sample", [8192])
+def test_vectors_of_each_length_link(spark, monkeypatch, sample):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(size=(60, 12)), *rng.normal(size=(2, 5)), rng.normal(size=30)]
+    near = [v + 0.01 * rng.normal(size=len(v)) for v in x[:-1]]
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate([*x, *near])]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    for k in range(62):
+        assert got[63 + k].component_id == got[k].component_id, k
+    assert got[62].n_links == 0 and len({got[k].component_id for k in range(60)}) > 50
+
+
 def auc(score, y):
     order = np.argsort(score)
     rank = np.empty(len(score))
