@@ -7,7 +7,7 @@ each code of a probed list (asymmetric distance). What is near by that estimate
 
 Probes: vectors x, y with |x - y| <= r can only lie in lists whose centroids satisfy d(x, c) <= d(x, nearest) + 2r
 (triangle inequality); lists are probed in order of distance up to `probes` of those. The estimate is
-trusted up to a margin that is measured on the sample.
+trusted up to the error of the code, which is held beside it, so what links depends on the exact cosine and not on the sample.
 
 Scale: equal vectors are one class first. A list is cut into blocks of bounded size, and blocks of queries meet blocks of codes, so a
 list that holds a third of all vectors is many tasks. A block sends back link counts and, of its
@@ -49,7 +49,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    """Coarse centroids, codewords of the residual's subspaces, and the error of the estimate."""
+    """Coarse centroids and codewords of the residual's subspaces."""
 
     def __init__(self, x: np.ndarray, lists: int, cosine: float, parts: int, probes: int):
         self.coarse = kmeans(x, lists)
@@ -57,14 +57,18 @@ class Quantiser:
         self.bounds = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
         self.words = [kmeans(rest[:, a:b], WORDS, seed=11) for a, b in zip(self.bounds, self.bounds[1:], strict=False)]
         self.radius, self.probes = np.sqrt(max(0.0, 2 - 2 * cosine)), probes
-        # |x - y| <= r gives |x - code(y)| <= r + |y - code(y)|; the largest error seen, with a tenth more, bounds it.
-        code = self.encode(rest)
-        error = np.sqrt(sum(((rest[:, a:b] - w[code[:, k]]) ** 2).sum(axis=1) for k, (a, b, w) in enumerate(zip(self.bounds, self.bounds[1:], self.words, strict=False))))
-        self.reach = (self.radius + 1.1 * float(error.max(initial=0))) ** 2
 
     def encode(self, rest: np.ndarray) -> np.ndarray:
         return np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.bounds, self.bounds[1:], self.words, strict=False)], axis=1).astype(np.uint8)
 
+    def errors(self, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The distance of each residual to what its code stands for."""
+        return np.sqrt(sum(((rest[:, a:b] - w[codes[:, k]]) ** 2).sum(axis=1) for k, (a, b, w) in enumerate(zip(self.bounds, self.bounds[1:], self.words, strict=False))))
+
+    def reach(self, errors: np.ndarray) -> np.ndarray:
+        """|x - y| <= r gives |x - code(y)| <= r + |y - code(y)|, so no larger estimate can belong to a link with y."""
+        return (self.radius + errors + 1e-9) ** 2
+
     def probed(self, x: np.ndarray) -> list[np.ndarray]:
         d = np.sqrt(squared(x, self.coarse))
         order = np.argsort(d, axis=1, kind="stable")[:, : self.probes]
@@ -138,9 +142,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16, pr
                     x = np.array([np.frombuffer(units[i], np.float64) for i in good])
                     own = nearest(x, quantiser.coarse)
                     codes = quantiser.encode(x - quantiser.coarse[own])
-                    for i, c, code, probes_ in zip(good, own, codes, quantiser.probed(x), strict=True):
+                    errors = quantiser.errors(x - quantiser.coarse[own], codes)
+                    for i, c, code, error, probes_ in zip(good, own, codes, errors, quantiser.probed(x), strict=True):
                         rep, copies = part["rep"][i].as_py(), part["copies"][i].as_py()
-                        rows.append((width, int(c), False, rep, copies, units[i], code.tobytes()))
+                        rows.append((width, int(c), False, rep, copies, units[i], error.tobytes() + code.tobytes()))
                         rows += [(width, int(p), True, rep, copies, units[i], None) for p in probes_]
                 yield pa.RecordBatch.from_arrays([pa.array(list(col), kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], ["width", "list", "query", "rep", "copies", "unit", "code"])
 
@@ -175,7 +180,9 @@ def _search(q: Quantiser, cosine: float, width: int, t: pa.Table) -> pa.Table:
     held = np.flatnonzero(~asks)
     a, b, n = [], [], []
     if len(held):
-        codes = np.frombuffer(b"".join(t["code"][i].as_py() for i in held), np.uint8).reshape(len(held), -1)
+        packed = [t["code"][i].as_py() for i in held]
+        codes = np.frombuffer(b"".join(c[8:] for c in packed), np.uint8).reshape(len(held), -1)
+        reach = q.reach(np.frombuffer(b"".join(c[:8] for c in packed), np.float64))
         parent = {}
 
         def root(v: int) -> int:
@@ -186,9 +193,9 @@ def _search(q: Quantiser, cosine: float, width: int, t: pa.Table) -> pa.Table:
         queries = np.flatnonzero(asks)
         for k in range(0, len(queries), 256):
             i = queries[k : k + 256]
-            row, col = np.nonzero(q.estimates(x[i] - centre, codes) <= q.reach)
+            row, col = np.nonzero(q.estimates(x[i] - centre, codes) <= reach)
             u, v = i[row], held[col]
-            exact = (x[u] * x[v]).sum(axis=1)
+            exact = np.concatenate([(x[u[j : j + 65536]] * x[v[j : j + 65536]]).sum(axis=1) for j in range(0, max(1, len(u)), 65536)])
             good = (exact >= cosine) & (rep[u] != rep[v])
             u, v = u[good], v[good]
             count = np.zeros(len(asks), np.int64)

@@ -117,7 +117,7 @@ def test_vectors_as_by_comparing_all_pairs(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("sample", [8192])
+@pytest.mark.parametrize("sample", [8192, 4])
 def test_vectors_of_each_length_link(spark, monkeypatch, sample):
     monkeypatch.setattr(embedding_dedup, "SAMPLE", sample)
     rng = np.random.default_rng(5)
