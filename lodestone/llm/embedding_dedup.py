@@ -6,7 +6,7 @@ each subspace. A query looks up the distance of its own residual to every codewo
 each code of a probed list (asymmetric distance). What is near by that estimate is ranked again by the exact cosine.
 
 Probes: vectors x, y with |x - y| <= r can only lie in lists whose centroids satisfy d(x, c) <= d(x, nearest) + 2r
-(triangle inequality); lists are probed in order of distance up to `probes` of those. The estimate is
+(triangle inequality); all of those are probed, in order of distance, unless `probes` sets a number. The estimate is
 trusted up to the error of the code, which is held beside it, so what links depends on the exact cosine and not on the sample.
 
 Scale: equal vectors are one class first. A list is cut into blocks of bounded size, and blocks of queries meet blocks of codes, so a
@@ -51,7 +51,7 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Quantiser:
     """Coarse centroids and codewords of the residual's subspaces."""
 
-    def __init__(self, x: np.ndarray, lists: int, cosine: float, parts: int, probes: int):
+    def __init__(self, x: np.ndarray, lists: int, cosine: float, parts: int, probes: int | None):
         self.coarse = kmeans(x, lists)
         rest = x - self.coarse[nearest(x, self.coarse)]
         self.bounds = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
@@ -96,7 +96,7 @@ def directions(values: list) -> list[bytes | None]:
     return out
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16, probes: int = 64) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16, probes: int | None = None) -> DataFrame:
     """Links and groups of vectors by cosine.
 
     vectors: vec_id (integer, unique) and embedding (array of numbers); other columns are left out. Returns a row for each row: vec_id,

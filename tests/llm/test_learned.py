@@ -130,6 +130,26 @@ def test_vectors_of_each_length_link(spark, monkeypatch, sample):
     assert got[62].n_links == 0 and len({got[k].component_id for k in range(60)}) > 50
 
 
+def test_every_list_within_the_bound_is_probed(spark, monkeypatch):
+    made = []
+
+    class Kept(embedding_dedup.Quantiser):
+        def __init__(self, *given):
+            super().__init__(*given)
+            made.append(self)
+
+    monkeypatch.setattr(embedding_dedup, "Quantiser", Kept)
+    embedding_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")).count()
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    q = embedding_dedup.Quantiser(x, 150, 0.9, 16, made[0].probes)
+    d = np.sqrt(embedding_dedup.squared(x, q.coarse))
+    within = [set(np.flatnonzero(r <= r.min() + 2 * q.radius)) for r in d]
+    assert max(map(len, within)) > 64
+    assert all(w <= set(p.tolist()) for w, p in zip(within, q.probed(x), strict=True))
+
+
 def auc(score, y):
     order = np.argsort(score)
     rank = np.empty(len(score))
