@@ -172,7 +172,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH
     made on the input, whatever else is removed.
 
     Equality is that of 64-bit fingerprints of the min_bytes bytes: with n merged suffixes the chance that any
-    two different ones agree is about n*n / 2**65.
+    two different ones agree is up to about n*n / 2**57, as 7 bytes of a name and its bucket are compared.
     """
     v, residues = cover(min_bytes)
     count = max(4, -(-2 * input_bytes(docs) // batch_bytes))
