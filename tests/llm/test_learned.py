@@ -130,24 +130,30 @@ def test_vectors_of_each_length_link(spark, monkeypatch, sample):
     assert got[62].n_links == 0 and len({got[k].component_id for k in range(60)}) > 50
 
 
-def test_every_list_within_the_bound_is_probed(spark, monkeypatch):
-    made = []
-
-    class Kept(embedding_dedup.Quantiser):
-        def __init__(self, *given):
-            super().__init__(*given)
-            made.append(self)
-
-    monkeypatch.setattr(embedding_dedup, "Quantiser", Kept)
-    embedding_dedup.near_vectors(spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")).count()
+@pytest.mark.parametrize("kind", ["random", "clusters"])
+def test_links_found_over_many_lists(spark, monkeypatch, kind):
+    """Near pairs with cosines from just above the threshold on, against all pairs, with over 100 lists."""
+    monkeypatch.setattr(embedding_dedup, "LIST", 16)
     rng = np.random.default_rng(7)
-    x = rng.normal(size=(300, 16))
+    x = rng.normal(size=(1500, 32)) if kind == "random" else rng.normal(size=(60, 32))[rng.integers(0, 60, 1500)] + 0.8 * rng.normal(size=(1500, 32))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q = embedding_dedup.Quantiser(x, 150, 0.9, 16, made[0].probes)
-    d = np.sqrt(embedding_dedup.squared(x, q.coarse))
-    within = [set(np.flatnonzero(r <= r.min() + 2 * q.radius)) for r in d]
-    assert max(map(len, within)) > 64
-    assert all(w <= set(p.tolist()) for w, p in zip(within, q.probed(x), strict=True))
+    z = rng.normal(size=x.shape)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.9, 0.95, (1500, 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * z])
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame([(k, [float(v) for v in row]) for k, row in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    found = np.array([got[k] for k in range(len(x))])
+    print(kind, found.sum(), near.sum())
+    assert (found <= near.sum(axis=1)).all() and found.sum() >= 0.95 * near.sum() > 2000
+
+
+def test_vectors_with_nulls_and_repeated_ids(spark):
+    rows = [(None, [1.0, 0.0], "a"), (1, [1.0, 0.0], "b"), (1, [0.0, 1.0], "c"), (2, [0.0, 2.0], "d"), (3, [3.0, 0.1], "e"), (None, None, "f")]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, unit string")).collect()
+    assert sorted((r.vec_id or 0, r.n_links) for r in got) == [(0, 0), (0, 0), (1, 1), (1, 1), (2, 1), (3, 1)]
 
 
 def auc(score, y):
