@@ -135,6 +135,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16) ->
     valid = scaled.where("unit is not null and vec_id is not null")
     # Equal vectors meet by their bytes' hash; the smallest vec_id stands for them.
     classes = stored(valid.groupBy(F.sha2("unit", 256).alias("key")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("unit").alias("unit")))
+    node = F.xxhash64("key")  # of a class, so that rows that share a vec_id are not mixed up
     # Vectors link with those of their own length only, so each length has a quantiser, fitted on its share of the sample, or on a few vectors if that has none.
     lengths = {r["size"] // 8: r["n"] for r in classes.groupBy(F.octet_length("unit").alias("size")).agg(F.count("*").alias("n")).collect()}
     lists = {k: max(1, min(LISTS, n // LIST)) for k, n in lengths.items()}
@@ -178,7 +179,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16) ->
     if not quantisers:
         found = scaled.sparkSession.createDataFrame([], "a long, b long, n long")
     else:
-        rows = classes.select("rep", "copies", "unit").mapInArrow(dealt, "width long, list long, held boolean, rep long, copies long, unit binary, code binary, own long, probes binary")
+        rows = classes.select(node.alias("rep"), "copies", "unit").mapInArrow(dealt, "width long, list long, held boolean, rep long, copies long, unit binary, code binary, own long, probes binary")
         if max(lengths.values()) > BLOCK:
             rows = stored(rows)
             sizes = rows.groupBy("width", "list").agg(F.ceil(F.sum(F.col("held").cast("int")) / BLOCK).alias("cb"), F.ceil(F.count("*") / BLOCK).alias("qb"))
@@ -191,9 +192,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, parts: int = 16) ->
         asks = cut.select("width", "list", number("qb").alias("q"), every("cb").alias("c"), "held", "rep", "copies", "unit", F.lit(None).cast("binary").alias("code"), "own", "probes")
         codes = cut.where("held").select("width", "list", every("qb").alias("q"), number("cb").alias("c"), "held", "rep", "copies", "unit", "code", "own", "probes")
         found = stored(asks.unionByName(codes).groupBy("width", "list", "q", "c").applyInArrow(search, "a long, b long, n long"))
-    counts = found.where("n is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
-    groups = connected(found.where("b is not null").select("a", "b"))
-    reps = classes.select("key", "rep", "copies").join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    counts = found.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+    groups = stored(connected(found.where("b is not null").select("a", "b")))
+    named = classes.select("key", "rep", "copies", node.alias("node"))
+    smallest = groups.join(named, "node").groupBy("component").agg(F.min("rep").alias("smallest"))
+    reps = named.join(counts, "node", "left").join(groups.join(smallest, "component").select("node", "smallest"), "node", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "rep").alias("component_id"))
     keyed = scaled.withColumn("key", F.when(F.col("vec_id").isNotNull(), F.sha2("unit", 256)))
     out = keyed.join(reps, "key", "left")
     component = F.coalesce("component_id", "vec_id")
