@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that goes to Python. Texts are long: ten thousand of them would take tens of megabytes a task on each side.
+ARROW_ROWS = 1024
+
+
+def short_batches(df: DataFrame) -> DataFrame:
+    """df, after the session's limit of rows in a batch for Python has been lowered to ARROW_ROWS if it was above."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= ARROW_ROWS:
+        df.sparkSession.conf.set(name, str(ARROW_ROWS))
+    return df
+
+
 def lowered(text: Column) -> Column:
     """A-Z lowered and nothing else. Texts that are all ASCII take the fast path."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

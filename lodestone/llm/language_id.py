@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import short_batches, table
 from lodestone.llm.linear import crc, dense, logistic, sample, sigmoid, svm, undense
 
 WIDTH = 4096
@@ -125,7 +125,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                 langs, scores = model.predict(features(texts)) if model is not None else ([""] * len(texts), np.zeros(len(texts)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([v if g else "und" for v, g in zip(langs, good, strict=True)]), pa.array(np.where(good, scores, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
+    return short_batches(docs).select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
@@ -136,14 +136,13 @@ def keep(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, good = batch["text"].to_pylist(), []
-            for k in range(0, len(texts), 128):
-                part = texts[k : k + 128]
-                scores = model.predict(features(part))[1] if model is not None else np.zeros(len(part))
-                good += [has_letter(t) and s >= least and model is not None for t, s in zip(part, scores, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(kept, docs.schema)
+            for k in range(0, batch.num_rows, 128):
+                part = batch.slice(k, 128)
+                texts = part["text"].to_pylist()
+                scores = model.predict(features(texts))[1] if model is not None else np.zeros(len(texts))
+                yield part.filter(pa.array([has_letter(t) and s >= least and model is not None for t, s in zip(texts, scores, strict=True)], pa.bool_()))
+
+    return short_batches(docs).mapInArrow(kept, docs.schema)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A document of n ids is cut into pieces of the largest length and then, for what remains, into one piece for each binary
 digit of the remainder, longest first. A piece is a sequence of its own whose length is a power of two, so it needs no
-padding and never crosses documents; a trainer draws batches from buckets of one length. Since a document's pieces depend on
+padding and never crosses documents. write_buckets() puts sequences of one length in a folder of their own, and a trainer draws batches from a folder. Since a document's pieces depend on
 nothing else, there is no shuffle and no state, at any size.
 """
 
@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import short_batches, table
 
 LENGTH, END = 4096, 2
+
+
 def pieces(n: int, longest: int = LENGTH) -> list[tuple[int, int]]:
     """Start and length of each piece of n ids."""
     out = [(k, longest) for k in range(0, n - longest + 1, longest)]
@@ -50,9 +52,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.fast = Tokenizer.from_file(path), None
+        self.path, self.library, self.fast = path, None, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["model"].get("end_of_word_suffix") == _SUFFIX and _SPLIT in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
@@ -62,6 +62,15 @@ class Encoder:
             ranks = {bytes(byte[c] for c in t.removesuffix(_SUFFIX)) + b" " * t.endswith(_SUFFIX): i for t, i in spec["model"]["vocab"].items() if t not in special}
             self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, read when a text first needs it."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return self.library
+
     def ids(self, text: str) -> np.ndarray:
         if self.fast is None or _BEYOND.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -73,6 +82,7 @@ class Encoder:
 
 def _bytes_of_symbols() -> dict[str, int]:
     """The printable symbol that stands for each byte in a byte-level vocabulary: itself if printable, otherwise the next from 256 on."""
+    # The bytes that such vocabularies take for printable.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
@@ -114,10 +124,16 @@ def pack(docs: DataFrame, tokenizer: str | None = None, longest: int = LENGTH, e
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), lists, pa.array(total, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, start long, length long, ids array<int>, doc_tokens long")
+    out = short_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "doc_id long, start long, length long, ids array<int>, doc_tokens long")
     return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write the sequences of pack() as Parquet with a folder for each length, so that a reader that takes batches from one folder has sequences of
+    equal length. No shuffle: a task writes to as many folders as there are lengths, 13 for sequences of up to 4096."""
+    packed.write.partitionBy("length").parquet(path)
+
+
 def checksum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ids of each piece as an unsigned CRC-32 of little-endian 32-bit numbers."""
     for batch in batches:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, word_hashes
+from lodestone.llm.common import short_batches, table, word_hashes
 from lodestone.llm.linear import adam, crc, dense, platt, sample, sigmoid, undense
 
 #: Trusted, unlabelled and (for calibration alone) bad rows that a fit uses, at most (about).
@@ -138,7 +138,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 x = features(part["text"].to_pylist())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(model.score(x) if model else np.full(len(x), 0.5))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
+    return short_batches(docs).select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, score double")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

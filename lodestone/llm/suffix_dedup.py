@@ -14,7 +14,7 @@ repeat of min_bytes - v + 1 bytes between two sampled positions.
    by their first min_bytes bytes; names are sorted again and adjacent ones compared. Equal neighbours are repeats.
 
 Documents are dealt out once, by a hash of doc_id, into batches of bounded size; what is shuffled besides is
-4 bytes for each sampled name and 7 for each merged one (the bucket tells the rest), packed by (batch, bucket), with the names that a batch
+4 bytes for each sampled name (the bucket tells as much again) and 8 for each merged one, packed by (batch, bucket), with the names that a batch
 holds several times sent once. The answer is one bit for each name. So a passage that a third of all documents
 hold costs no more than any other. The number of batches and buckets grows with the input.
 """
@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import input_bytes, prefix_hash, span_hash, table
+from lodestone.llm.common import input_bytes, prefix_hash, short_batches, span_hash, table
 
 BATCH_BYTES = 6 << 20
 
@@ -124,7 +124,7 @@ class _Batch:
 
     def packed(self, names: np.ndarray, batch: int, wide: bool) -> pa.Table:
         u, _, twice, _, bounds = self.grouped(names, wide)
-        data = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 7 if wide else 4]
+        data = u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : 8 if wide else 4]
         rows = [k for k in range(self.buckets) if bounds[k] < bounds[k + 1]]
         return pa.table({
             "batch": pa.array([batch] * len(rows), pa.int64()), "bucket": pa.array(rows, pa.int64()),
@@ -172,12 +172,12 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH
     made on the input, whatever else is removed.
 
     Equality is that of 64-bit fingerprints of the min_bytes bytes: with n merged suffixes the chance that any
-    two different ones agree is up to about n*n / 2**57, as 7 bytes of a name and its bucket are compared.
+    two different ones agree is about n*n / 2**65.
     """
     v, residues = cover(min_bytes)
     count = max(4, -(-2 * input_bytes(docs) // batch_bytes))
     args = (min_bytes, v, residues, count)
-    data = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInArrow(_compressed, "batch long, doc_id long, data binary")
+    data = short_batches(docs).select(F.pmod(F.xxhash64("doc_id"), F.lit(count)).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data")).mapInArrow(_compressed, "batch long, doc_id long, data binary")
 
     def first(key: tuple, t: pa.Table) -> pa.Table:
         b = _Batch(t, *args)
@@ -213,11 +213,11 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400, batch_bytes: int = BATCH
     answer = "batch long, bucket long, bits binary"
     by_batch = data.groupBy("batch")
     sampled = by_batch.applyInArrow(first, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, 4), answer).withColumn("level", F.lit(0))
-    merged = by_batch.cogroup(sampled.groupBy("batch")).applyInArrow(second, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, 7), answer).withColumn("level", F.lit(1))
+    merged = by_batch.cogroup(sampled.groupBy("batch")).applyInArrow(second, packed).groupBy("bucket").applyInArrow(lambda t: _compare(t, 8), answer).withColumn("level", F.lit(1))
     return by_batch.cogroup(sampled.unionByName(merged).groupBy("batch")).applyInArrow(third, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("removed"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table, word_hashes
+from lodestone.llm.common import short_batches, table, word_hashes
 from lodestone.llm.linear import crc, logistic, sample, sigmoid
 
 #: Rows of each label that a fit uses, at most (about), and the words that it picks as features.
@@ -118,7 +118,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = model.predict(np.stack([model.present(hashes(t)) for t in texts])) if model else np.zeros((len(texts), len(names)))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(x) for x in p.T)], ["doc_id", *(f"p_{n}" for n in names)])
 
-    return docs.select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'p_{n} double' for n in names)}")
+    return short_batches(docs).select("doc_id", "text").mapInArrow(told, f"doc_id {dict(docs.dtypes)['doc_id']}, {', '.join(f'p_{n} double' for n in names)}")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

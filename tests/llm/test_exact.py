@@ -41,6 +41,17 @@ def test_passages_as_by_counting_all_strings(spark, size):
         assert len(got[k].spans) == (np.diff(np.r_[0, gone.astype(int)]) == 1).sum()
 
 
+def test_passages_of_the_real_length(spark):
+    """400 bytes, so with the cover of period 183: copies that are just long enough or one byte short, at every kind of place."""
+    rng = random.Random(400)
+    shared = [text(rng, 250)[:n] for n in (399, 400, 401, 582, 583, 800)]
+    texts = [text(rng, rng.randrange(0, 200)) + " " + rng.choice(shared) + text(rng, rng.randrange(0, 200)) for _ in range(60)] + [shared[1], shared[0], "ab" * 500, "é" * 300]
+    got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), batch_bytes=20_000).collect()}
+    data = [t.encode() for t in texts]
+    for k, gone in enumerate(removed(data, 400)):
+        assert bytes(got[k].kept) == bytes(np.frombuffer(data[k], np.uint8)[~gone]), k
+
+
 @pytest.mark.parametrize("q", [2, 3, 5, 7, 13])
 def test_every_difference_occurs(q):
     v, d = suffix_dedup.difference_set(q)
@@ -75,6 +86,14 @@ def test_pieces_are_powers_of_two_without_gaps(spark, odd, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_buckets_hold_sequences_of_one_length(spark, odd, tmp_path):
+    packing.write_buckets(packing.pack(odd), f"file://{tmp_path}/buckets")
+    for folder in (tmp_path / "buckets").glob("length=*"):
+        n = int(folder.name.split("=")[1])
+        assert n & (n - 1) == 0 and {len(r.ids) for r in spark.read.parquet(f"file://{folder}").collect()} == {n}
+    assert spark.read.parquet(f"file://{tmp_path}/buckets").count() == packing.pack(odd).count()
+
+
 @pytest.mark.parametrize("t", ["I'm don't ''s '' 's we'll x_y __a 12a ½ é'tis 'd\"s <|endoftext|> a", "", "  \n\t", "İstanbul ﬁ 漢字", "tab\tx\r\ny 'S 'Ll a'b", "co-op ##$% ª º ß µ \xadx", "!'s it's5's 'a a'"])
 def test_ids_are_those_of_the_library(t):
     import public_tokenizers
