@@ -26,7 +26,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         q1, med, q3 = q[c] or (None, None, None)
         far = (x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1)) if q[c] and q3 > q1 else F.lit(False)
         parts[c] = {
-            "n": n, "missing": F.sum(x.isNull().cast("int")), "mean": F.round(F.avg(x), 6), "std": F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6), "low": F.round(F.min(x), 6),
+            "n": n, "missing": F.sum(x.isNull().cast("int")), "mean": F.round(F.avg(x), 8), "std": F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6), "low": F.round(F.min(x), 6),
             "q1": F.round(F.lit(q1).cast("double"), 6), "median": F.round(F.lit(med).cast("double"), 6), "q3": F.round(F.lit(q3).cast("double"), 6), "high": F.round(F.max(x), 6),
             "skewness": F.round(F.when(n > 2, F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0), 6), "zeros": F.sum(F.coalesce((x == 0).cast("int"), F.lit(0))), "negative": F.sum(F.coalesce((x < 0).cast("int"), F.lit(0))),
             "outliers": F.sum(F.coalesce(far.cast("int"), F.lit(0))),

@@ -70,34 +70,45 @@ def fitted(spark: SparkSession, sf_dir: str, name: str = "score_hi", bins: int =
     return df, fit
 
 
+#: Groups of rows by l_discount. With an indicator for each border a model without a penalty is saturated, so what it says of a group is the group's own share.
+BORDERS = (0.025, 0.055, 0.085)
+GROUP_SQL = " + ".join(f"CAST(l_discount > {b} AS INT)" for b in BORDERS)
+
+
+def bordered(df: DataFrame) -> DataFrame:
+    above = [(F.col("l_discount") > b).cast("int") for b in BORDERS]
+    x = df.select("label", sum(above[1:], above[0]).alias("discount_group"), *(c.cast("double").alias(f"above_{k}") for k, c in enumerate(above)))
+    return models.vectors(x, [f"above_{k}" for k in range(len(BORDERS))])
+
+
 def pattern_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confusion and rank quality of an L1 logistic regression on mined patterns."""
-    df, fit = fitted(spark, sf_dir)
-    x = models.vectors(mining.pattern_columns(df, fit), [f"p{k}" for k in range(len(fit.patterns))])
-    return metrics.auc(models.with_probability(x, x, "label", "p"), "label", "p").select((F.col("auc") > 0.9).alias("auc_above_0_9"))
+    """What a logistic regression, fitted with next to no penalty, says of each group of rows."""
+    x = bordered(frame(spark, sf_dir, "score_hi"))
+    return models.with_probability(x, x, "label", "p", c=1e9).groupBy("discount_group").agg(F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("p"))
 
 
-add("pattern_model", pattern_model, "SELECT true AS auc_above_0_9")
+add("pattern_model", pattern_model, f"WITH f AS ({FRAMES['score_hi']}) SELECT {GROUP_SQL} AS discount_group, count(*) AS n, round(avg(label), 3) AS p FROM f GROUP BY 1")
 
 
 def multiclass_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, fit = fitted(spark, sf_dir, "multi3")
-    x = models.vectors(mining.pattern_columns(df, fit), [f"p{k}" for k in range(len(fit.patterns))])
-    out = models.one_vs_rest(x, x, "label", (0, 1, 2))
-    best = F.greatest("p_0", "p_1", "p_2")
-    said = F.when(F.col("p_0") == best, 0).when(F.col("p_1") == best, 1).otherwise(2)
-    return out.agg((F.avg((said == F.col("label")).cast("int")) > 0.6).alias("accuracy_above_0_6"))
+    """What one regression for each class, scaled to sum to 1, says of each group of rows."""
+    x = bordered(frame(spark, sf_dir, "multi3"))
+    return models.one_vs_rest(x, x, "label", (0, 1, 2), c=1e9).groupBy("discount_group").agg(F.count("*").alias("n"), *(F.round(F.avg(f"p_{k}"), 3).alias(f"p_{k}") for k in range(3)))
 
 
-add("multiclass_model", multiclass_model, "SELECT true AS accuracy_above_0_6")
+add("multiclass_model", multiclass_model, f"WITH f AS ({FRAMES['multi3']}) SELECT {GROUP_SQL} AS discount_group, count(*) AS n, {', '.join(f'round(avg(CAST(label = {k} AS INT)), 3) AS p_{k}' for k in range(3))} FROM f GROUP BY 1")
 
 
 def tree_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, loss = models.residual_trees(frame(spark, sf_dir, "xor2"), THREE, rounds=2, depth=2)
-    return spark.createDataFrame([(k, b < a) for k, (a, b) in enumerate(zip(loss, loss[1:], strict=False))], "round int, deviance_falls boolean").agg(F.min("deviance_falls").alias("deviance_falls"))
+    """Margins and deviances of a round of residual trees on a feature with two values, so the split is known and leaves are Newton steps."""
+    df = frame(spark, sf_dir, "score_hi").select("label", (F.col("l_quantity") > 25).cast("double").alias("high"))
+    margin, loss = models.residual_trees(df, ["high"], rounds=1, depth=1)
+    return df.groupBy("high").agg(F.count("*").alias("n"), F.round(F.avg(margin), 6).alias("margin")).withColumns({"deviance_before": F.round(F.lit(loss[0]), 6), "deviance_after": F.round(F.lit(loss[1]), 6)})
 
 
-add("residual_trees", tree_rounds, "SELECT true AS deviance_falls")
+add("residual_trees", tree_rounds, f"""WITH f AS (SELECT label, CAST(l_quantity > 25 AS DOUBLE) AS high FROM ({FRAMES['score_hi']})), p AS (SELECT avg(label) AS p FROM f),
+m AS (SELECT high, count(*) AS n, sum(label) AS s, ln(any_value(p) / (1 - any_value(p))) AS z0, ln(any_value(p) / (1 - any_value(p))) + sum(label - p) / (count(*) * any_value(p) * (1 - any_value(p)) + 1) AS z FROM f, p GROUP BY high)
+SELECT high, n, round(z, 6) AS margin, round(sum(2 * (n * ln(1 + exp(z0)) - s * z0)) OVER () / sum(n) OVER (), 6) AS deviance_before, round(sum(2 * (n * ln(1 + exp(z)) - s * z)) OVER () / sum(n) OVER (), 6) AS deviance_after FROM m""")
 add("no_pattern_prior", lambda s, d: models.constant_prior(frame(s, d, "null_signal")).agg(F.count("*").alias("n"), F.round(F.max("p"), 6).alias("p")), f"WITH f AS ({FRAMES['null_signal']}) SELECT count(*) AS n, round(avg(label), 6) AS p FROM f")
 
 # Explanations

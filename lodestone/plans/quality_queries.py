@@ -84,7 +84,7 @@ li = lambda s, d: table(s, d, "lineitem")
 
 def profile_sql(columns: list[str]) -> str:
     one = lambda c: f"""(WITH q AS (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.5) AS med, quantile_cont({c}, 0.75) AS q3 FROM f)
-SELECT '{c}' AS col, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS low, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3, round(max({c}), 6) AS high,
+SELECT '{c}' AS col, count({c}) AS n, count(*) - count({c}) AS missing, round(avg({c}), 8) AS mean, round(stddev_samp({c}), 6) AS std, round(min({c}), 6) AS low, round(any_value(q1), 6) AS q1, round(any_value(med), 6) AS median, round(any_value(q3), 6) AS q3, round(max({c}), 6) AS high,
 round(skewness({c}), 6) AS skewness, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER ({c} < 0) AS negative, count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers FROM f, q)"""
     return " UNION ALL ".join(map(one, columns))
 
