@@ -209,11 +209,13 @@ def _extended(fit: Fit, usable: list[Item], deep: int, floor: float, least_gain:
     occ = occ.select("*", F.explode("items").alias("x")).select("label", "n", "row", "items", F.array("x.rank").alias("path"), F.array("x.col").alias("cols"), F.col("x.iu").alias("u"))
     population: dict[tuple[int, ...], list[int]] = {(i.rank,): i.counts for i in usable} | {(): fit.totals}
     out: list[Pattern] = []
+    held: list[DataFrame] = []
     for size in range(2, deep + 1):
         more = occ.select("*", F.explode(F.filter("items", lambda y: (y["rank"] > F.element_at("path", -1)) & ~F.array_contains("cols", y["col"]))).alias("y"))
         cand = more.select("label", "n", "row", "items", F.concat("path", F.array("y.rank")).alias("path"), F.concat("cols", F.array("y.col")).alias("cols"), (F.col("u") + F.col("y.iu")).alias("u"))
         cand = cand.persist()
-        counted = cand.groupBy("path").agg(F.sum("n").alias("n"), F.first("u").alias("u"), F.bit_xor("row").alias("cover"), F.count("*").alias("k"), *classes).collect()
+        counted = cand.groupBy("path").agg(F.sum("n").alias("n"), F.first("u").alias("u"), F.bit_xor("row").alias("cover"), F.count("*").alias("k"), *classes)
+        counted = _gated(fit, counted, size, population, [i.rank for i in usable if free(i)] if size == 2 else [], least_gain).collect()
         alive: set[tuple[int, ...]] = set()
         siblings: set[tuple] = set()
         for r in sorted(counted, key=lambda r: tuple(r["path"])):
@@ -233,13 +235,42 @@ def _extended(fit: Fit, usable: list[Item], deep: int, floor: float, least_gain:
             u = round(r["n"] * r["u"], 9)
             if u >= floor and u > 0 or loose:
                 out.append(Pattern(items, r["n"], u, g, cover, loose))
+        held.append(cand)
         if not alive or size == deep:
             break
         keep = fit.rows.sparkSession.createDataFrame([(list(p),) for p in alive], "path array<int>")
         occ = cand.join(F.broadcast(keep) if len(alive) <= 20000 else keep, "path")
+    for c in held:
+        c.unpersist()
     return out
 
 
+def _gated(fit: Fit, counted: DataFrame, size: int, population: dict[tuple[int, ...], list[int]], loose: list[int], least_gain: float) -> DataFrame:
+    """The counted paths that can pass the gate, so that the driver gets survivors and not all that occur. The bound is a little lower than the gate,
+    which is then applied exactly; paths with a rank of `loose` stay."""
+    k = len(fit.classes)
+    if size == 2:
+        counted = counted.withColumn("all", F.array(*(F.lit(int(v)).cast("long") for v in fit.totals)))
+    else:
+        known = fit.rows.sparkSession.createDataFrame([(list(p), [int(v) for v in c]) for p, c in population.items() if len(p) == size - 2], "_prefix array<int>, all array<bigint>")
+        known = F.broadcast(known) if len(population) <= 20000 else known
+        counted = counted.withColumn("_prefix", F.slice("path", 1, size - 2)).join(known, "_prefix", "left").withColumn("all", F.coalesce("all", F.array(*(F.lit(int(v)).cast("long") for v in fit.totals)))).drop("_prefix")
+
+    def spread(parts: list[Column]) -> Column:
+        """Rows times entropy of the counts of classes."""
+        n = sum(parts[1:], parts[0])
+        return F.when(n > 0, n * F.ln(n)).otherwise(0.0) - sum((F.when(c > 0, c * F.ln(c)).otherwise(0.0) for c in parts), F.lit(0.0))
+
+    inside, total = [F.col(f"c{j}") for j in range(k)], [F.col("all")[j] for j in range(k)]
+    outside = [F.greatest(t - c, F.lit(0)) for t, c in zip(total, inside, strict=True)]
+    n = F.greatest(sum(total[1:], total[0]), F.lit(1))
+    g = (spread(total) - spread(inside) - spread(outside)) / n
+    stays = g > least_gain - 1e-9
+    for r in loose:
+        stays = stays | F.array_contains("path", r)
+    return counted.where(stays).drop("all")
+
+
 def table_of(spark: SparkSession, patterns: Sequence[Pattern]) -> DataFrame:
     """pattern, length, support, utility and ig (both rounded to 6 places) of each pattern."""
     return spark.createDataFrame([(p.name, len(p.items), int(p.support), round(p.utility, 6), round(p.ig, 6)) for p in patterns], PATTERN)
