@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import sampling
+
 
 def arms(df: DataFrame, t: str = "t", y: str = "y") -> DataFrame:
     """Rows in each cell of treatment and outcome."""
@@ -45,10 +47,24 @@ def effects(df: DataFrame, trims: Sequence[float] = (0.0, 0.01, 0.05, 0.10), cli
     return each.groupBy("trim").agg(F.round(F.avg("kept"), 6).alias("retained"), F.round(F.avg("p"), 6).alias("plug_in"), F.round(F.avg("dr"), 6).alias("aipw"), F.round(F.coalesce(F.stddev_samp("dr"), F.lit(0.0)), 6).alias("spread"))
 
 
+def overlap(df: DataFrame, e: str = "e", t: str = "t", low: float = 0.05) -> DataFrame:
+    """One row for each arm: rows, share of propensities in [low, 1 - low], their mean and extremes."""
+    inside = ((F.col(e) >= low) & (F.col(e) <= 1 - low)).cast("int")
+    return df.groupBy(t).agg(F.count("*").alias("n"), F.round(F.avg(inside), 6).alias("overlap"), F.round(F.avg(e), 6).alias("mean"), F.round(F.min(e), 6).alias("low"), F.round(F.max(e), 6).alias("high"))
+
+
+def check_arms(df: DataFrame, t: str = "t", y: str = "y", least: int = 30, least_outcomes: int = 5) -> None:
+    """Each arm has to have `least` rows, and `least_outcomes` of either outcome."""
+    cells = {(r[0], r[1]): r[2] for r in arms(df, t, y).collect()}
+    for k in (0, 1):
+        n = [cells.get((k, v), 0) for v in (0, 1)]
+        if sum(n) < least or min(n) < least_outcomes:
+            raise ValueError(f"arm {k} has {sum(n)} rows, outcomes 0 and 1: {n}; needed are {least} rows and {least_outcomes} of each outcome")
+
+
 def joint_split(df: DataFrame, key: str, t: str = "t", y: str = "y", test: float = 0.3, seed: int = 7) -> DataFrame:
-    """df with split, about `test` of each cell of treatment and outcome, by a hash of the key: no order, no shuffle."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.col(t), F.col(y)), F.lit(1 << 30)) / float(1 << 30)
-    return df.withColumn("split", F.when(u < test, "test").otherwise("train"))
+    """df with split: round(rows * test) rows of each cell of treatment and outcome are 'test'."""
+    return sampling.split(df, key, [t, y], test, seed)
 
 
 def propensity(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], t: str = "t") -> DataFrame:

@@ -43,6 +43,13 @@ def divergence(df: DataFrame, columns: Sequence[str], bins: int = 10, threshold:
     return out.select("*", F.when(F.col("psi") > max(0.25, 2 * threshold), "significant").when(F.col("psi") > threshold, "moderate").otherwise("none").alias("severity"))
 
 
+def summary(df: DataFrame, columns: Sequence[str], bins: int = 10, threshold: float = 0.1) -> DataFrame:
+    """One row: mean psi and kl over columns, columns beyond the threshold, and the severity of the mean."""
+    d = divergence(df, columns, bins, threshold).agg(F.avg("psi").alias("psi"), F.avg("kl").alias("kl"), F.sum((F.col("psi") > threshold).cast("int")).alias("drifted"))
+    severity = F.when(F.col("psi") > max(0.25, 2 * threshold), "significant").when(F.col("psi") > threshold, "moderate").otherwise("none")
+    return d.select(F.round("psi", 5).alias("psi"), F.round("kl", 5).alias("kl"), "drifted", severity.alias("severity"))
+
+
 def quantile_psi(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row, psi over right-closed bins at the reference's quantiles with open ends; null for fewer than 10 rows or two bins."""
     x = finite(column)

@@ -95,16 +95,12 @@ def strict_top(scores: DataFrame, k: int) -> DataFrame:
     return scores.orderBy(F.desc("ig"), "feature").limit(k)
 
 
-def stratified_sample(df: DataFrame, key: str, label: str, fraction: float, seed: int = 0) -> DataFrame:
-    """About a fraction of each class by a hash of the key; the same rows for the same seed, whatever the partitions."""
-    u = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(u < fraction)
-
+def lags(df: DataFrame, key: str, order: Sequence[str], columns: Sequence[str], steps: Sequence[int]) -> DataFrame:
+    """df with <column>_lag_<k>, the value k rows before within the key; null before the first."""
+    from pyspark.sql import Window
 
-def folds(df: DataFrame, key: str, k: int = 5, seed: int = 0) -> DataFrame:
-    """df with fold (test) and validation (the next one), by a hash of the key."""
-    f = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(k)).cast("int")
-    return df.withColumn("fold", f).withColumn("validation", (f + 1) % k)
+    w = Window.partitionBy(key).orderBy(*order)
+    return df.withColumns({f"{c}_lag_{k}": F.lag(c, k).over(w) for c in columns for k in steps})
 
 
 def infer_target(df: DataFrame) -> str | None:

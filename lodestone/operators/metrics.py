@@ -117,3 +117,80 @@ def cumulative_share(importance: DataFrame, by: Sequence[str] = ("weight",)) ->
     """Running share of absolute weight, largest first; the table is one of features, so it is small."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.abs(by[0]).desc(), "feature")
     return importance.select("*", F.round(F.sum(F.abs(by[0])).over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(F.abs(by[0])).over(Window.partitionBy(F.lit(0))), 6).alias("cumulative"))
+
+
+def _above(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """cells (by, s, pos, n) with above_pos and above_n, the sums over higher scores: totals of score ranges, then sums within one."""
+    cells = cells.withColumn("b", F.floor(F.col("s") * 4096))
+    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    coarse = cells.groupBy(*by, "b").agg(F.sum("pos").alias("bp"), F.sum("n").alias("bn"))
+    over = coarse.select(*by, "b", *((F.sum(c).over(w.orderBy(F.desc("b"))) - F.col(c)).alias(f"o{c}") for c in ("bp", "bn")))
+    i = Window.partitionBy(*by, "b").orderBy(F.desc("s"))
+    own = cells.select("*", *((F.sum(c).over(i) - F.col(c)).alias(f"i_{c}") for c in ("pos", "n")))
+    return own.join(over, [*by, "b"]).select(*by, "s", "pos", "n", (F.col("obp") + F.col("i_pos")).alias("above_pos"), (F.col("obn") + F.col("i_n")).alias("above_n"))
+
+
+def _ranking(cells: DataFrame, by: Sequence[str]) -> DataFrame:
+    """auc (ties count half) and average precision of each group."""
+    neg = F.col("n") - F.col("pos")
+    total, others = F.sum("pos"), F.sum(neg)
+    return _above(cells, by).groupBy(*by).agg(
+        F.try_divide(F.sum(neg * (F.col("above_pos") + F.col("pos") / 2)), total * others).alias("auc"),
+        F.try_divide(F.sum(F.col("pos") * (F.col("above_pos") + F.col("pos")) / (F.col("above_n") + F.col("n"))), total).alias("ap"),
+    )
+
+
+def average_precision(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
+    """One row: the precision at each score, weighted by the recall that it adds; rows of one score come together."""
+    cells = df.groupBy(F.col(p).alias("s")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
+    return _ranking(cells, []).select(F.round("ap", 6).alias("average_precision"))
+
+
+def multiclass(df: DataFrame, classes: Sequence[int], label: str = "label", prefix: str = "p_") -> DataFrame:
+    """One row on the columns p_<class>: accuracy, balanced accuracy, macro F1, log loss, Brier score, and means over classes of one-against-rest
+    AUC and average precision. The smallest class wins ties; a class without rows counts in no mean but that of F1, as 0."""
+    best = F.greatest(*(F.col(f"{prefix}{k}") for k in classes))
+    pred = F.lit(None).cast("int")
+    for k in reversed(classes):
+        pred = F.when(F.col(f"{prefix}{k}") == best, k).otherwise(pred)
+    own = sum((F.when(F.col(label) == k, F.col(f"{prefix}{k}")).otherwise(0.0) for k in classes), F.lit(0.0))
+    loss = -F.avg(F.ln(F.greatest(own, F.lit(1e-15))))
+    brier = F.avg(sum(((F.col(f"{prefix}{k}") - (F.col(label) == k).cast("int")) ** 2 for k in classes), F.lit(0.0)))
+    d = df.withColumn("_pred", pred)
+    counts = [F.sum(((F.col(label) == k) & (F.col("_pred") == k)).cast("long")).alias(f"t{k}") for k in classes]
+    counts += [F.sum((F.col(label) == k).cast("long")).alias(f"a{k}") for k in classes] + [F.sum((F.col("_pred") == k).cast("long")).alias(f"g{k}") for k in classes]
+    flat = d.agg(F.count("*").alias("n"), loss.alias("log_loss"), brier.alias("brier"), *counts)
+    hits = sum((F.col(f"t{k}") for k in classes), F.lit(0))
+    recalls = F.array_compact(F.array(*(F.try_divide(f"t{k}", f"a{k}") for k in classes)))
+    f1 = sum((F.coalesce(F.try_divide(2 * F.col(f"t{k}"), F.col(f"a{k}") + F.col(f"g{k}")), F.lit(0.0)) for k in classes), F.lit(0.0)) / len(classes)
+    one = flat.select(F.round(hits / F.col("n"), 6).alias("accuracy"), F.round(F.aggregate(recalls, F.lit(0.0), lambda a, x: a + x) / F.size(recalls), 6).alias("balanced_accuracy"), F.round(f1, 6).alias("macro_f1"), F.round("log_loss", 6).alias("log_loss"), F.round("brier", 6).alias("brier"))
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"{prefix}{k}").alias("s"), (F.col(label) == k).cast("long").alias("y")) for k in classes))).alias("v"))
+    cells = each.groupBy("v.k", "v.s").agg(F.sum("v.y").alias("pos"), F.count("*").alias("n"))
+    rank = _ranking(cells, ["k"]).agg(F.round(F.avg("auc"), 6).alias("auc_ovr"), F.round(F.avg("ap"), 6).alias("average_precision"))
+    return one.crossJoin(F.broadcast(rank))  # one row on each side
+
+
+def activation(matrix: DataFrame, names: Sequence[str], top: int = 25) -> DataFrame:
+    """pattern, active rows and rate of the patterns p0, p1, ... that most rows have."""
+    flat = matrix.agg(F.count("*").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(len(names))))
+    rows = F.array(*(F.struct(F.lit(v).alias("pattern"), F.col(f"p{k}").alias("active"), F.round(F.col(f"p{k}") / F.col("n"), 6).alias("rate")) for k, v in enumerate(names)))
+    return flat.select(F.explode(rows).alias("x")).select("x.*").orderBy(F.desc("active"), "pattern").limit(top)
+
+
+def calibrate_sigmoid(train: DataFrame, df: DataFrame, y: str = "y", p: str = "p", out: str = "calibrated") -> DataFrame:
+    """df with a probability that is logistic in the log-odds of p, fitted on train without a penalty."""
+    from lodestone.operators.models import fit_logistic, logistic, vectors
+
+    q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    odds = F.ln(q / (1 - q))
+    b, (w,) = fit_logistic(vectors(train.withColumn("_odds", odds), ["_odds"]), y, 1, l1=0.0)
+    return df.withColumn(out, logistic(F.lit(b) + w * odds))
+
+
+def calibrate_isotonic(train: DataFrame, df: DataFrame, y: str = "y", p: str = "p", out: str = "calibrated") -> DataFrame:
+    """df with the monotone function of p nearest to the labels of train, linear between its steps. Rows are counted by score before the fit."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    cells = train.groupBy(F.col(p).cast("double").alias("_s")).agg(F.avg(y).alias("_y"), F.count("*").cast("double").alias("_w"))
+    model = IsotonicRegression(featuresCol="_s", labelCol="_y", weightCol="_w", predictionCol=out).fit(cells)
+    return model.transform(df.withColumn("_s", F.col(p).cast("double"))).drop("_s")

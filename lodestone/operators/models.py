@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression
@@ -24,6 +25,23 @@ def with_probability(train: DataFrame, df: DataFrame, label: str, out: str, feat
     return fitted.transform(df).withColumn(out, vector_to_array("_lr_p")[1]).drop("_lr_p", "_lr_c", "_lr_r", "_label")
 
 
+def fit_logistic(train: DataFrame, label: str, width: int, features: str = "features", l1: float = 1.0, l2: float = 0.0, c: float = 1.0) -> tuple[float, list[float]]:
+    """Intercept and weights of a logistic regression. The penalty is (l1 |w| + l2 w*w / 2) / (c * rows), on the features as they are; none if both
+    are 0. One class in train gives its share as a constant, kept off 0 and 1."""
+    n, mean = train.agg(F.count("*"), F.avg(F.col(label).cast("double"))).first()
+    if not n or mean in (0.0, 1.0):
+        share = min(1 - 1e-9, max(1e-9, mean or 0.0))
+        return math.log(share / (1 - share)), [0.0] * width
+    penalty = {"elasticNetParam": l1 / (l1 + l2), "regParam": (l1 + l2) / (c * n)} if l1 + l2 else {}
+    model = LogisticRegression(featuresCol=features, labelCol="_label", standardization=False, maxIter=100, **penalty)
+    fitted = model.fit(train.withColumn("_label", F.col(label).cast("double")))
+    return float(fitted.intercept), [float(w) for w in fitted.coefficients]
+
+
+def logistic(margin: Column) -> Column:
+    return 1 / (1 + F.exp(-margin))
+
+
 def vectors(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=out).transform(df)
 

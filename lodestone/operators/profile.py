@@ -114,3 +114,85 @@ def semantic_types(df: DataFrame) -> DataFrame:
     kind = kind.when(F.col("col").isin(dates), "datetime").when((F.col("distinct_values") == F.col("rows")) & ~F.col("col").isin(real), "identifier").when(F.col("col").isin(real), "continuous")
     kind = kind.when(F.col("col").isin(whole), "integer").when(F.col("mean_length") > 60, "text").otherwise("category")
     return stats.select("col", "distinct_values", "missing", kind.alias("kind"))
+
+
+def pivot(df: DataFrame, rows: str, columns: str, value: str, how: str = "avg", most: int = 1000) -> DataFrame:
+    """A row for each value of `rows`, a column for each of `columns`; more than `most` of these raise an error rather than make a plan of any width."""
+    levels = [r[0] for r in df.select(columns).distinct().limit(most + 1).collect()]
+    if len(levels) > most:
+        raise ValueError(f"{columns} has more than {most} values")
+    return df.groupBy(rows).pivot(columns, sorted(v for v in levels if v is not None)).agg(F.round(getattr(F, how)(value), 6))
+
+
+def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b, n and the cell's share of its row; missing values are a level."""
+    level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("<missing>")).alias(c)
+    cells = df.groupBy(level(a), level(b)).agg(F.count("*").alias("n"))
+    return cells.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(a)), 6))
+
+
+def target_associations(df: DataFrame, target: str, numeric: Sequence[str], categorical: Sequence[str], top: int = 20) -> DataFrame:
+    """col, measure and strength of the columns that go most with a categorical target: eta of numbers, Cramér's V of categories.
+
+    One scan counts all columns by value of the target; what is windowed afterwards has a row for each level.
+    """
+    some = df.where(F.col(target).isNotNull())
+    t = F.col(target).cast("string").alias("t")
+    parts = []
+    if numeric:
+        cells = some.select(t, F.explode(F.array(*(F.struct(F.lit(c).alias("col"), finite(c).alias("x")) for c in numeric))).alias("v")).select("t", "v.*").where("x is not null")
+        g = cells.groupBy("col", "t").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+        w = Window.partitionBy("col")
+        g = g.withColumn("far", F.col("n") * (F.col("m") - F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w)) ** 2)
+        between, inside = F.sum("far"), F.sum(F.col("n") * F.col("v"))
+        parts.append(g.groupBy("col").agg(F.lit("eta").alias("measure"), F.when(between + inside > 0, F.sqrt(between / (between + inside))).otherwise(0.0).alias("strength")))
+    if categorical:
+        level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("<missing>"))
+        cells = some.select(t, F.explode(F.array(*(F.struct(F.lit(c).alias("col"), level(c).alias("x")) for c in categorical))).alias("v")).groupBy("v.col", "v.x", "t").agg(F.count("*").alias("n"))
+        by = lambda *c: F.sum("n").over(Window.partitionBy(*c))
+        c = cells.select("col", "x", "t", "n", by("col", "x").alias("nx"), by("col", "t").alias("nt"), by("col").alias("all"))
+        r = c.groupBy("col").agg(F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("nt"))).alias("s"), F.first("all").alias("all"), F.count_distinct("x").alias("r"), F.count_distinct("t").alias("k"))
+        rest = F.greatest(F.col("all") - 1, F.lit(1))
+        phi = F.greatest(F.col("s") - 1 - (F.col("k") - 1) * (F.col("r") - 1) / rest, F.lit(0.0))
+        less = F.least(F.col("k") - (F.col("k") - 1) ** 2 / rest, F.col("r") - (F.col("r") - 1) ** 2 / rest) - 1
+        parts.append(r.select("col", F.lit("cramers_v").alias("measure"), F.when((F.least("r", "k") >= 2) & (less > 0), F.sqrt(phi / less)).otherwise(0.0).alias("strength")))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.withColumn("strength", F.round("strength", 6)).orderBy(F.desc("strength"), "col").limit(top)
+
+
+def dataset_summary(df: DataFrame) -> DataFrame:
+    """One row: rows, columns, missing cells and their percentage, columns without a value and with one only."""
+    flat = df.agg(F.count("*").alias("rows"), *(F.count(c).alias(f"n_{k}") for k, c in enumerate(df.columns)), *(F.min(c).alias(f"lo_{k}") for k, c in enumerate(df.columns)), *(F.max(c).alias(f"hi_{k}") for k, c in enumerate(df.columns)))
+    total = lambda f: sum((f(k) for k in range(len(df.columns))), F.lit(0))
+    missing = total(lambda k: F.col("rows") - F.col(f"n_{k}"))
+    empty = total(lambda k: (F.col(f"n_{k}") == 0).cast("int"))
+    constant = total(lambda k: ((F.col(f"n_{k}") > 0) & (F.col(f"lo_{k}") == F.col(f"hi_{k}"))).cast("int"))
+    return flat.select("rows", F.lit(len(df.columns)).alias("columns"), missing.cast("long").alias("missing_cells"), F.round(F.try_divide(100 * missing, F.col("rows") * len(df.columns)), 6).alias("missing_pct"), empty.alias("all_missing"), constant.alias("constant"))
+
+
+def findings(df: DataFrame, target: str | None = None, id_column: str | None = None) -> DataFrame:
+    """level, title and detail of what a reader of the profile should know; level 'ok' alone if there is nothing."""
+    n = df.count()
+    out: list[tuple[str, str, str]] = []
+    if not n:
+        out = [("warning", "Empty dataset", "no rows")]
+    else:
+        twice = duplicate_rows(df).first()[0]
+        if twice:
+            out.append(("warning", "Duplicate rows", f"{twice} rows repeat another"))
+        for r in sorted(semantic_types(df).collect(), key=lambda r: df.columns.index(r["col"])):
+            if r["missing"] == n:
+                out.append(("warning", r["col"], "no value"))
+            elif r["kind"] == "constant":
+                out.append(("warning", r["col"], "one value"))
+            elif r["kind"] == "identifier" and r["col"] != id_column:
+                out.append(("attention", r["col"], "as many values as rows, as an identifier has"))
+            elif r["kind"] == "category" and r["distinct_values"] > 100:
+                out.append(("attention", r["col"], f"{r['distinct_values']} levels"))
+            if r["missing"] >= 0.4 * n:
+                out.append(("warning", r["col"], f"{100 * r['missing'] / n:.1f} % missing"))
+        if target is not None:
+            small = df.groupBy(target).count().agg(F.min("count"), F.count("*")).first()
+            if small[1] >= 2 and small[0] < 0.1 * n:
+                out.append(("warning", "Target imbalance", f"the smallest class has {100 * small[0] / n:.1f} % of the rows"))
+    return df.sparkSession.createDataFrame(out[:30] or [("ok", "Nothing found", "")], "level string, title string, detail string")

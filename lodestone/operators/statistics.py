@@ -34,6 +34,15 @@ def mean_interval(df: DataFrame, by: str = "model", value: str = "value", z: flo
     return df.groupBy(by).agg(F.count(value).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.avg(value) - half, 6).alias("low"), F.round(F.avg(value) + half, 6).alias("high"))
 
 
+def leaderboard(df: DataFrame) -> DataFrame:
+    """model, datasets, mean value, mean rank and datasets where it is best (ties count for each), best mean rank first."""
+    w = Window.partitionBy("dataset")
+    rank = F.rank().over(w.orderBy(F.desc("value")))
+    r = df.where("value is not null").select("model", "value", (rank + (F.count("*").over(Window.partitionBy("dataset", "value")) - 1) / 2).alias("r"), (rank == 1).cast("int").alias("first"))
+    out = r.groupBy("model").agg(F.count("*").alias("datasets"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.avg("r"), 6).alias("rank"), F.sum("first").alias("firsts"))
+    return out.orderBy("rank", "model")
+
+
 def wins(df: DataFrame) -> DataFrame:
     """For each pair of models the shares of common datasets that each wins; ties count half. Pairs are made inside a dataset's list of models."""
     l = df.groupBy("dataset").agg(F.sort_array(F.collect_list(F.struct("model", "value"))).alias("v"))  # noqa: E741

@@ -127,7 +127,6 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("edited_patterns", edited, f"WITH p AS ({l1_sql('score_hi', THREE, 5, 12, 1e-3)}) SELECT pattern, support, CASE WHEN contains(lower(pattern), 'l_tax') THEN 'keyword' WHEN support / (SELECT count(*) FROM lineitem) < 0.1 THEN 'low support' ELSE 'kept' END AS status FROM p")
 add("pattern_set_overlap", lambda s, d: statistics.jaccard(mining.table_of(s, fitted(s, d, bins=3)[1].patterns), mining.table_of(s, fitted(s, d, "xor2", bins=3)[1].patterns)), f"""WITH a AS (SELECT DISTINCT pattern FROM ({l2_sql('score_hi', THREE, 3, 12, 1e-3)})), b AS (SELECT DISTINCT pattern FROM ({l2_sql('xor2', THREE, 3, 12, 1e-3)})), j AS (SELECT a.pattern AS x, b.pattern AS y FROM a FULL JOIN b ON a.pattern = b.pattern)
 SELECT count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, count(*) FILTER (x IS NULL) AS added, count(*) FILTER (y IS NULL) AS removed, round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*), 6) AS jaccard FROM j""")
-add("cross_folds", lambda s, d: features.folds(table(s, d, "orders"), "o_orderkey").groupBy("fold", "validation").agg(F.count("*").alias("n")))
 add("explanation_stability", lambda s, d: explain.stability(mining.table_of(s, fitted(s, d, bins=3)[1].patterns), mining.table_of(s, fitted(s, d, "multi3", bins=3)[1].patterns)), f"""WITH a AS (SELECT pattern, ig FROM ({l2_sql('score_hi', THREE, 3, 12, 1e-3)}) ORDER BY ig DESC, pattern LIMIT 20), b AS (SELECT pattern, ig FROM ({l2_sql('multi3', THREE, 3, 12, 1e-3)}) ORDER BY ig DESC, pattern LIMIT 20),
 x AS (SELECT pattern, rank() OVER (ORDER BY ig) + (count(*) OVER (PARTITION BY ig) - 1) / 2 AS x FROM a), y AS (SELECT pattern, rank() OVER (ORDER BY ig) + (count(*) OVER (PARTITION BY ig) - 1) / 2 AS y FROM b), j AS (SELECT x, y FROM x FULL JOIN y USING (pattern))
 SELECT round(count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) / count(*), 6) AS jaccard, count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) AS shared, round(corr(x, y), 6) AS rank_correlation FROM j""")

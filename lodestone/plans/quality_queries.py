@@ -127,7 +127,6 @@ d AS (SELECT e, b - a AS p, b - a + t * (y - b) / e - (1 - t) * (y - a) / (1 - e
 SELECT trim, round(avg(CAST(e >= trim AND e <= 1 - trim AS INT)), 6) AS retained, round(avg(p), 6) AS plug_in, round(avg(dr) FILTER (e >= trim AND e <= 1 - trim), 6) AS aipw, 0.0::DOUBLE AS spread FROM d, tr GROUP BY trim""")
 add("propensity_score", lambda s, d: causal.propensity(treat(s, d), ["o_totalprice", "c_acctbal"], ["o_orderstatus"]).select("o_orderkey", F.round("e", 4).alias("e")))
 add("t_learner", lambda s, d: causal.t_learner(treat(s, d), ["o_totalprice", "c_acctbal"], ["c_mktsegment"]).select("o_orderkey", F.round("cate", 3).alias("cate")))
-add("joint_split", lambda s, d: causal.joint_split(treat(s, d), "o_orderkey").groupBy("t", "y", "split").agg(F.count("*").alias("n")))
 
 # Encodings
 Q = f"f AS ({FRAMES['quality']})"
