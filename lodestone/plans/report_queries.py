@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import binning, causal, drift, metrics, mining, profile, sampling, statistics
+from lodestone.operators.classifier import PatternClassifier
 from lodestone.plans import quality_queries
 from lodestone.plans.extra_queries import CMP, comparison
 from lodestone.plans.mining_queries import THREE, l1_sql
@@ -132,3 +133,24 @@ def isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 add("calibrate_isotonic", isotonic, f"""WITH f AS ({FRAMES['xor2']}), g AS (SELECT CAST(floor(l_quantity) AS BIGINT) AS p, count(*) AS n, sum(label) AS y FROM f GROUP BY 1), c AS (SELECT *, sum(n) OVER (ORDER BY p) AS cn, sum(y) OVER (ORDER BY p) AS cy FROM g),
 m AS (SELECT x.p, x.n, a.p AS a, min((b.cy - a.cy + a.y) / (b.cn - a.cn + a.n)) AS v FROM c x JOIN c a ON a.p <= x.p JOIN c b ON b.p >= x.p GROUP BY x.p, x.n, a.p) SELECT p, n, round(max(v), 6) AS calibrated FROM m GROUP BY p, n""")
+
+
+# The model as a whole: fitted on four folds, held to the fifth.
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = frame(spark, sf_dir, "scored").select("l_orderkey", "l_returnflag", F.col("y").alias("label"))
+    df = sampling.folds(df.join(table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.avg("l_quantity").alias("quantity"), F.max("l_discount").alias("discount")), "l_orderkey"), "l_orderkey")
+    model = PatternClassifier(["quantity", "discount", "l_returnflag"], length=2, top=20, mode="original_plus_patterns", budget=15).fit(df.where("fold <> 0"))
+    return metrics.performance(model.predict_proba(df.where("fold = 0")), "label", "p_1").select("accuracy", "balanced_accuracy", "f1", "log_loss", "brier")
+
+
+add("classifier_held_out", held_out)
+
+
+def saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a classifier with an indicator for every bin and next to no penalty says of each bin: the bin's own share."""
+    df = frame(spark, sf_dir, "score_cat")
+    model = PatternClassifier(["l_returnflag"], mode="original_plus_patterns", c=1e9).fit(df)
+    return model.predict_proba(df).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("p_1"), 3).alias("p"))
+
+
+add("classifier_saturated", saturated, f"WITH f AS ({FRAMES['score_cat']}) SELECT l_returnflag, count(*) AS n, round(avg(label), 3) AS p FROM f GROUP BY 1")

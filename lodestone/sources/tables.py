@@ -73,18 +73,59 @@ def save_fit(spark: SparkSession, fit: Fit, path: str, key: bytes | None = None)
     items = {i.id: dataclasses.asdict(i) for i in fit.items}
     body = {"version": VERSION, "bins": [dataclasses.asdict(b) for b in fit.bins], "totals": fit.totals, "classes": fit.classes, "items": items,
             "patterns": [{"items": [i.id for i in p.items], "support": p.support, "utility": p.utility, "ig": p.ig, "relaxed": p.relaxed} for p in fit.patterns]}
+    save_body(spark, body, path, key)
+
+
+def save_body(spark: SparkSession, body: dict, path: str, key: bytes | None = None) -> None:
+    """What JSON can hold as one row of Parquet, with its HMAC if a key is given."""
     text = json.dumps(body, sort_keys=True)
     mark = hmac.new(key, text.encode(), hashlib.sha256).hexdigest() if key else None
     spark.createDataFrame([(text, mark)], "model string, hmac string").coalesce(1).write.mode("overwrite").parquet(path)
 
 
-def load_fit(spark: SparkSession, path: str, key: bytes | None = None, most: int = 1 << 26) -> Fit:
-    r = spark.read.parquet(path).first()
-    if len(r["model"]) > most:
+def load_body(spark: SparkSession, path: str, key: bytes | None = None, most: int = 1 << 26) -> dict:
+    """What save_body wrote. Its size is asked for before it is fetched, and its HMAC checked before it is read."""
+    saved = spark.read.parquet(path)
+    if saved.agg(F.max(F.octet_length("model"))).first()[0] > most:
         raise ValueError("the model is larger than allowed")
+    r = saved.first()
     if key and not hmac.compare_digest(r["hmac"] or "", hmac.new(key, r["model"].encode(), hashlib.sha256).hexdigest()):
         raise ValueError("the model's signature doesn't match")
-    body = json.loads(r["model"])
+    return json.loads(r["model"])
+
+
+def save_model(spark: SparkSession, model, path: str, key: bytes | None = None) -> None:
+    """A fitted PatternClassifier with its weights."""
+    save_body(spark, {"version": VERSION, "classifier": model.body()}, path, key)
+
+
+def load_model(spark: SparkSession, path: str, key: bytes | None = None):
+    from lodestone.operators.classifier import PatternClassifier
+
+    body = load_body(spark, path, key)
+    if body.get("version") != VERSION or "classifier" not in body:
+        raise ValueError(f"not a model of version {VERSION}")
+    return PatternClassifier.from_body(body["classifier"])
+
+
+def write_result(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A folder of CSV with a header, JSON lines or Parquet, by the ending of the path; written by the tasks."""
+    ending = path.rstrip("/").rpartition(".")[2].lower()
+    if ending in ("csv", "tsv"):
+        df.write.mode(mode).csv(path, header=True, sep="," if ending == "csv" else "\t")
+    elif ending in ("json", "jsonl"):
+        df.write.mode(mode).json(path)
+    else:
+        df.write.mode(mode).parquet(path)
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    """Rows of a Parquet or ORC folder from its footers; of text formats by a scan without columns."""
+    return read_table(spark, path).count()
+
+
+def load_fit(spark: SparkSession, path: str, key: bytes | None = None, most: int = 1 << 26) -> Fit:
+    body = load_body(spark, path, key, most)
     if body["version"] != VERSION:
         raise ValueError(f"version {body['version']}; this library reads {VERSION}")
     items = {int(k): Item(**v) for k, v in body["items"].items()}
