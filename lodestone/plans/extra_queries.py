@@ -112,9 +112,10 @@ SELECT high, n, round(z, 6) AS margin, round(sum(2 * (n * ln(1 + exp(z0)) - s *
 add("no_pattern_prior", lambda s, d: models.constant_prior(frame(s, d, "null_signal")).agg(F.count("*").alias("n"), F.round(F.max("p"), 6).alias("p")), f"WITH f AS ({FRAMES['null_signal']}) SELECT count(*) AS n, round(avg(label), 6) AS p FROM f")
 
 # Explanations
-add("feature_lineage", lambda s, d: explain.lineage(s, fitted(s, d, bins=3)[1]))
-add("pattern_families", lambda s, d: explain.families(s, fitted(s, d, bins=3)[1]))
-add("sensitive_patterns", lambda s, d: explain.sensitive(s, fitted(s, d, bins=3)[1], ["l_tax"]), )
+MINED = f"WITH p AS ({l2_sql('score_hi', THREE, 3, 12, 1e-3)}), u AS (SELECT DISTINCT pattern, length, support, ig, regexp_extract(unnest(string_split(pattern, ' & ')), '^[^=]+') AS source FROM p)"
+add("feature_lineage", lambda s, d: explain.lineage(s, fitted(s, d, bins=3)[1]).withColumn("best_ig", F.round("best_ig", 5)), f"{MINED} SELECT source, count(*) AS patterns, round(avg(support), 6) AS mean_support, round(max(ig), 5) AS best_ig FROM u GROUP BY source")
+add("pattern_families", lambda s, d: explain.families(s, fitted(s, d, bins=3)[1]), f"{MINED} SELECT length, sources, count(*) AS patterns FROM (SELECT pattern, length, string_agg(source, ', ' ORDER BY source) AS sources FROM u GROUP BY ALL) GROUP BY ALL")
+add("sensitive_patterns", lambda s, d: explain.sensitive(s, fitted(s, d, bins=3)[1], ["l_tax"]), f"{MINED} SELECT pattern, bool_or(source = 'l_tax') AS sensitive FROM u GROUP BY pattern")
 add("inspection_units", lambda s, d: (lambda df, fit: explain.inspection_units(mining.pattern_columns(df, fit), fit))(*fitted(s, d, bins=3)))
 
 

@@ -104,7 +104,9 @@ r AS (SELECT sum(n * n / (na * nb)) AS s, any_value(t) AS t, count(DISTINCT a) A
 SELECT round(CASE WHEN least(r, k) >= 2 THEN sqrt(phi / (least(k - (k - 1) ** 2 / (t - 1), r - (r - 1) ** 2 / (t - 1)) - 1)) ELSE 0 END, 6) AS v FROM x""")
 add("correlation_ratio", lambda s, d: profile.correlation_ratio(li(s, d), "l_returnflag", "l_extendedprice"), "WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_pop(l_extendedprice) AS v FROM lineitem GROUP BY 1), t AS (SELECT n, v, n * (m - sum(n * m) OVER () / sum(n) OVER ()) ** 2 AS b FROM g) SELECT round(sqrt(sum(b) / (sum(b) + sum(n * v))), 6) AS eta FROM t")
 add("duplicate_rows", lambda s, d: profile.duplicate_rows(li(s, d).select("l_orderkey", "l_linenumber")), "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS duplicates FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber)")
-add("semantic_types", lambda s, d: profile.semantic_types(table(s, d, "orders")))
+TYPED = {"o_orderkey": "whole", "o_custkey": "whole", "o_orderstatus": "text", "o_totalprice": "real", "o_orderpriority": "text"}
+add("semantic_types", lambda s, d: profile.semantic_types(table(s, d, "orders").select(*TYPED)), "SELECT col, d AS distinct_values, m AS missing, CASE WHEN d <= 1 THEN 'constant' WHEN d = 2 THEN 'binary' WHEN d = n AND t <> 'real' THEN 'identifier' WHEN t = 'real' THEN 'continuous' WHEN t = 'whole' THEN 'integer' WHEN l > 60 THEN 'text' ELSE 'category' END AS kind FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS col, '{t}' AS t, count(DISTINCT {c}) AS d, count(*) - count({c}) AS m, count(*) AS n, avg(length(CAST({c} AS VARCHAR))) AS l FROM orders" for c, t in TYPED.items()) + ")")
 
 # Effects
 treat = lambda s, d: frame(s, d, "treat")
