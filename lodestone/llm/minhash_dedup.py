@@ -13,10 +13,9 @@ and every candidate is verified with the exact J.
 
 Scale: texts whose bags are equal become one class before anything else, so exact copies, however many, are one row. A
 bucket of a band isn't expanded into pairs: each member is compared with the bucket's hub, the document that shares most with others, which
-gives as many candidates as members. Where that leaves a bucket in several groups, members of different groups are compared as well: in a bucket of up to
-BUCKET documents all of them, in a larger one those that agree in a second such band which is at most NEIGHBOURS bands on. (Two documents of
-similarity 0.8 agree in 8 of 25 bands on average; by simulation, 9 in 1,000 such pairs agree in no two that close, 4 in 10,000 at 0.85.) Before texts are read, 4 bits of each register are compared, for those groups on signatures of WIDE registers: a pair with more
-differing ones than a similarity at the threshold gives but once in 100,000 cases isn't verified.
+gives as many candidates as members. Where that leaves a bucket in several groups, all its members of different groups are compared as well, however large it is, each pair in
+the first bucket that it shares. Buckets of more than BLOCK documents are dealt in blocks, and each two blocks are a group of rows of their own, so that no task holds a bucket. This compares signatures of WIDE
+registers, 4 bits of each, and so do the hubs with fewer: a pair with more differing ones than a similarity at the threshold gives but once in 100,000 cases isn't verified.
 """
 
 from __future__ import annotations
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import connected, merged, mix, short_batches, stored, table, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
-#: Documents up to which a bucket is compared as it is; how far apart the two bands of a finer bucket may be; registers of the signatures for what is left in the open.
-BUCKET, NEIGHBOURS, WIDE = 128, 4, 1024
+#: Documents of a block of a large bucket; registers of the signatures for what is left in the open; pairs of them that are looked at together.
+BLOCK, WIDE, TOGETHER = 256, 1024, 1 << 14
 
 
 def bag(text: str | None, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -178,14 +177,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     left = stored(placed.join(mixed, ["band", "key"], "left_semi"))
     # Signatures with so many registers that few pairs below the threshold look like ones above it, for what is left in the open.
     wide = stored(data.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(widely_signed, "doc_id long, sig array<long>"))
-    few = left.where(F.col("size") <= BUCKET).select(F.xxhash64("band", "key").alias("key"), "doc_id", "component")
-    # In a larger bucket only documents that agree in another band of that kind, too, are compared. A document is in a bucket for each band, so it has a few keys only.
-    own = left.where(F.col("size") > BUCKET).groupBy("doc_id", "component").agg(F.sort_array(F.collect_set(F.struct("band", "key"))).alias("k"))
-    near_by = F.flatten(F.transform("k", lambda x, i: F.transform(F.filter(F.slice("k", i + 2, NEIGHBOURS), lambda y: y["band"] - x["band"] <= NEIGHBOURS), lambda y: F.xxhash64(x["band"], x["key"], y["band"], y["key"]))))
-    open_ = stored(few.unionByName(own.select(F.explode(near_by).alias("key"), "doc_id", "component")).join(wide, "doc_id"))
-    x, y = open_.alias("x"), open_.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & (differing("x.sig", "y.sig", -(-WIDE // 16)) <= most_differing(WIDE, similarity)))
-    cross = stored(cross.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(star, ["a", "b"], "left_anti"))
+    cross = stored(in_buckets(left, wide, reps.select("doc_id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), similarity).join(star, ["a", "b"], "left_anti"))
     groups = merged(groups, stored(verified(data, cross, similarity, shingle)))
 
     named = classes.where("copies > 1").select("k1", "k2", "copies", F.col("rep").alias("class_rep"))
@@ -195,6 +187,74 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     return out.select("doc_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.when(F.col("n") > 0, F.coalesce("copies", F.lit(1))).otherwise(1).cast("long").alias("copies"))
 
 
+def in_buckets(left: DataFrame, wide: DataFrame, bands: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members (band, key, doc_id, size, component) of one bucket, but of different components, whose wide signatures look similar, each once.
+
+    bands: for each doc_id the keys of its bands, of 31 bits; equal ones by chance hide a pair once in 10**8 cases.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = left.join(wide, "doc_id").join(bands, "doc_id").withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
+    # A document meets the others of its block, and each other block in a group of rows that both go to.
+    dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    lo, hi = F.least("block", "other"), F.greatest("block", "other")
+    dealt = dealt.select(F.xxhash64("band", "key", lo, hi).alias("g"), "band", (lo == hi).alias("own"), (F.col("block") == lo).alias("low"), "doc_id", "component", "bands", "sig")
+    most = most_differing(WIDE, similarity)
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g, band, own, low, doc, component, keys, sig in gathered(batches):
+            row = np.arange(len(g))
+            ends = np.searchsorted(g, g, "right")
+            count = ends - row - 1
+            upto, start = np.cumsum(count), 0
+            while start < len(g):
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + TOGETHER, "right")))
+                n = count[start:end]
+                i = np.repeat(row[start:end], n)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+                start = end
+                yes = (component[i] != component[j]) & (band[i] == band[j]) & (own[i] | (low[i] != low[j]))
+                i, j = i[yes], j[yes]
+                yes = (keys[i] == keys[j]).argmax(axis=1) == band[i]
+                i, j = i[yes], j[yes]
+                x = sig[i] ^ sig[j]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                yes = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(axis=1, dtype=np.int64) <= most
+                a, b = doc[i[yes]], doc[j[yes]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return dealt.repartition("g").sortWithinPartitions("g").mapInArrow(compared, "a long, b long")
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by the first, as arrays that hold groups of that column in full; lists of one length become rows of a matrix."""
+
+    def arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
+        out = []
+        for c in batch.columns:
+            if pa.types.is_list(c.type):
+                v = c.flatten().to_numpy(zero_copy_only=False)
+                out.append((v.view(np.uint64) if v.dtype == np.int64 else v).reshape(len(c), -1))
+            else:
+                out.append(c.to_numpy(zero_copy_only=False))
+        return out
+
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = arrays(batch)
+        cut = int(np.searchsorted(now[0], now[0][-1], "left"))  # the last group may go on
+        if cut or (held and held[-1][0][-1] != now[0][0]):
+            yield [np.concatenate(x) for x in zip(*held, [x[:cut] for x in now], strict=True)]
+            held = [[x[cut:] for x in now]]
+        else:
+            held.append(now)
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def shortened(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A bag by the upper halves of its hashes; what they have in common counts together."""
     half = (items >> np.uint64(32)).astype(np.uint32)

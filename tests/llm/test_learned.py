@@ -82,6 +82,23 @@ def test_groups_of_near_copies_as_by_comparing_all_pairs(spark):
     assert all(got[k].kept == (expected[k] == k) for k in got)
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_a_large_bucket_of_different_documents_is_compared_in_full(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block, raising=False)
+    monkeypatch.setattr(minhash_dedup, "TOGETHER", 3000, raising=False)
+    rng = random.Random(13)
+    docs = []
+    for _ in range(200):
+        w = ("q " * 200 + text(rng, 120)).split()
+        docs += [" ".join(w), " ".join([*w[:250], "zz", *w[251:]])]
+    # One band of one register, which most documents spend on what all have in common: no other bucket tells them apart.
+    register = minhash_dedup.signatures([minhash_dedup.bag(t) for t in docs], 1)[:, 0]
+    assert Counter(register).most_common(1)[0][1] > 200
+    expected = [k - k % 2 if register[k] == register[k - k % 2] else k for k in range(len(docs))]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bands=1, rows=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(expected))
+
+
 def test_near_copies_of_odd_input(odd, empty):
     rows = minhash_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
