@@ -212,6 +212,23 @@ def test_a_bucket_of_very_many_lines_is_split(spark, monkeypatch):
     assert line_dedup.dedup_lines(df).where("n_dropped = 1").count() == 300
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_lines_whose_only_common_anchor_many_others_have(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BUCKET", block if block < 256 else line_dedup.BUCKET)
+    rng = random.Random(14)
+    lines = []
+    for _ in range(40):
+        w = ["".join(rng.choice("aeiouklmnrst") for _ in range(5)) for _ in range(7)]
+        lines += [" ".join(["unquestioned", "commonplaces", *v]) for v in (w, [x if k % 2 else x[:2] + "q" + x[3:] for k, x in enumerate(w)])]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    # One anchor alone is shared by the lines of a pair, and 80 lines have it.
+    anchors = {r.doc_id: set(r.anchors) for r in line_dedup.occurrences(rows).collect()}
+    assert {len(anchors[k] & anchors[k + 1]) for k in range(0, 80, 2)} == {1} and len(set.intersection(*anchors.values())) == 1
+    similar = {(a, b) for b in range(80) for a in range(b) if edit(lines[a], lines[b]) <= 0.2 * max(len(lines[a]), len(lines[b])) + 1e-9}
+    assert similar == {(k, k + 1) for k in range(0, 80, 2)}
+    assert {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_dropped = 1").collect()} == set(range(1, 80, 2))
+
+
 def test_similar_lines_as_by_edit_similarity_alone(spark):
     rng = random.Random(6)
     base = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
