@@ -2,14 +2,16 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, line_dedup, packing, suffix_dedup
+from lodestone.llm import common, decontaminate, line_dedup, packing, suffix_dedup
 from tests.llm.conftest import text
 
 
@@ -229,6 +231,55 @@ def test_lines_whose_only_common_anchor_many_others_have(spark, monkeypatch, blo
     assert {r.doc_id for r in line_dedup.dedup_lines(rows).where("n_dropped = 1").collect()} == set(range(1, 80, 2))
 
 
+def test_pairs_of_lines_are_verified_in_turns(spark, monkeypatch):
+    """Many more pairs than lines, as in large buckets: no table of pairs or join has them all at once, and none is lost."""
+    rng, taken = random.Random(15), []
+    base = [text(rng, 1) for _ in range(24)]
+    texts = [" ".join([*base[: k % 12], "zz", *base[k % 12 + 1 :], str("q" * (k // 12 + 1))]) for k in range(36)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_dedup.stored(line_dedup.occurrences(docs).select("h", F.struct("doc_id", "line_no").alias("first"), "words", "distinct", "bits"))
+    of = {r.h: texts[r.first.doc_id] for r in lines.collect()}
+    pairs = line_dedup.stored(lines.select(F.col("h").alias("a")).join(lines.select(F.col("h").alias("b")), F.col("a") < F.col("b")))
+
+    def counted(df, store=line_dedup.stored):
+        out = store(df)
+        taken.extend([out.count()] * (out.columns == ["a", "b"]))
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    got = {(r.a, r.b) for r in line_dedup.verified(docs, lines, pairs, 0.8).collect()}
+    assert got == {(r.a, r.b) for r in pairs.collect() if edit(of[r.a], of[r.b]) <= 0.2 * max(len(of[r.a]), len(of[r.b])) + 1e-9}
+    assert len(got) > 400 and max(taken) <= 2 * len(texts)
+
+
+def test_lines_of_far_lengths_do_not_meet(spark):
+    """A bucket of lines of all lengths: only similar lengths come into a group, each such pair once."""
+    at = spark.createDataFrame([(7, k, k, k) for k in range(1, 200)], "key int, h long, len int, component long")
+    lines = spark.createDataFrame([(k, [7], 9, 9, [0] * 8) for k in range(1, 200)], "h long, anchors array<int>, words int, distinct int, bits array<long>")
+    for similarity in (0.8, 0.95, 0.5):
+        groups = {}
+        for r in line_dedup.dealt(at, lines, similarity).collect():
+            groups.setdefault(r.g, []).append(r)
+        met = Counter((x.h, y.h) for g in groups.values() for x in g for y in g if x.h < y.h and not (x.longer and y.longer) and (x.own or x.low != y.low))
+        assert set(met.values()) == {1} and {(a, b) for b in range(1, 200) for a in range(1, b) if b - a <= (1 - similarity) * b + 1e-9} <= set(met)
+        assert all(a >= similarity * similarity * b - 1 for a, b in met)
+
+
+def test_shuffle_files_and_released_tables_go(spark):
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    files = lambda: {f for d in disk.localDirs() for f in Path(str(d)).rglob("shuffle_*.data")}
+    before = files()
+    out = common.stored(spark.range(5000).select(F.col("id") % 977, "id").repartition(5, "id").groupBy("(id % 977)").count())
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 977
+    folder = Path(out.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.is_dir()
+    common.released(out)
+    assert not folder.exists()
+
+
 def test_similar_lines_as_by_edit_similarity_alone(spark):
     rng = random.Random(6)
     base = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
