@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import connected, merged, mix, short_batches, stored, table, word_hashes
+from lodestone.llm.common import connected, merged, mix, released, short_batches, small, stored, table, word_hashes
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 25, 5
 #: Documents of a block of a large bucket; registers of the signatures for what is left in the open; pairs of them that are looked at together.
@@ -176,9 +176,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, shingle: in
     mixed = placed.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
     left = stored(placed.join(mixed, ["band", "key"], "left_semi"))
     # Signatures with so many registers that few pairs below the threshold look like ones above it, for what is left in the open.
-    wide = stored(data.join(left.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(widely_signed, "doc_id long, sig array<long>"))
+    wide = stored(read_again(data, left.select("doc_id").distinct()).mapInArrow(widely_signed, "doc_id long, sig array<long>"))
     cross = stored(in_buckets(left, wide, reps.select("doc_id", F.transform("bands", lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), similarity).join(star, ["a", "b"], "left_anti"))
-    groups = merged(groups, stored(verified(data, cross, similarity, shingle)))
+    groups = merged(groups, verified(data, cross, similarity, shingle))
 
     named = classes.where("copies > 1").select("k1", "k2", "copies", F.col("rep").alias("class_rep"))
     out = s.join(named, ["k1", "k2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.coalesce("class_rep", "doc_id")).otherwise(F.col("doc_id")))
@@ -262,8 +262,13 @@ def shortened(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return half[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def read_again(data: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of data with those doc_ids, one of each. The ids are broadcast if few, and then no other text is shuffled."""
+    return data.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
 def verified(data: DataFrame, pairs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts' bags have at least that similarity. Texts are read again for what occurs
+    """The pairs (a, b) of doc_ids whose texts' bags have at least that similarity, as a stored table. Texts are read again for what occurs
     in a pair only, and travel as bags of 32-bit hashes, sorted as the full ones are."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +287,11 @@ def verified(data: DataFrame, pairs: DataFrame, similarity: float, shingle: int)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(yes), batch["b"].filter(yes)], ["a", "b"])
 
     involved = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = data.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(bags, "id long, items binary, counts binary")
+    held = stored(read_again(data, involved).mapInArrow(bags, "id long, items binary, counts binary"))
     side = lambda k: held.select(F.col("id").alias(k), F.col("items").alias(f"{k}_items"), F.col("counts").alias(f"{k}_counts"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(judged, "a long, b long")
+    out = stored(pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(judged, "a long, b long"))
+    released(held)
+    return out
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

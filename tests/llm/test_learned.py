@@ -99,6 +99,20 @@ def test_a_large_bucket_of_different_documents_is_compared_in_full(spark, monkey
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(expected))
 
 
+def test_texts_are_read_again_without_a_shuffle_of_all(spark):
+    """A few ids are broadcast whatever Spark's own limit is; each text comes once."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        data = spark.createDataFrame([(k % 500, f"text {k % 500}") for k in range(1000)], "doc_id long, text string")
+        out = minhash_dedup.read_again(data, spark.createDataFrame([(3,), (77,), (9999,)], "doc_id long"))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert sorted(tuple(r) for r in out.collect()) == [(3, "text 3"), (77, "text 77")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_near_copies_of_odd_input(odd, empty):
     rows = minhash_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
