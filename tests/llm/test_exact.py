@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestone.llm import common, decontaminate, line_dedup, packing, suffix_dedup
 from tests.llm.conftest import text
 
@@ -321,6 +322,20 @@ def test_shuffle_files_and_released_tables_go(spark):
     assert not folder.exists()
 
 
+def test_a_stage_leaves_only_what_its_result_reads(spark):
+    """Tables of line_dedup and minhash_dedup stayed on disk through all later stages of the pipeline."""
+    rng = random.Random(18)
+    base = [text(rng, 20) for _ in range(12)]
+    docs = common.stored(spark.createDataFrame([(k, "\n".join([base[k % 12], text(rng, 30), base[k % 7] + " zz"])) for k in range(40)] + [(k, base[3]) for k in (40, 41)], "doc_id long, text string"))
+    shared = Path(common.shared_folder(spark).removeprefix("file://"))
+    tables = lambda: {x.name for x in shared.iterdir() if len(x.name) == 32}
+    for stage, column in ((corpus_pipeline.lines, "text"), (corpus_pipeline.near_copies, "doc_id")):
+        before = tables()
+        out = stage(spark, docs, "")
+        assert len(tables() - before) == 1
+        assert out.select(column).distinct().count() > 30
+
+
 def test_similar_lines_as_by_edit_similarity_alone(spark):
     rng = random.Random(6)
     base = ["".join(rng.choice("aeiouklmnrst") for _ in range(rng.randrange(2, 10))) for _ in range(3000)]
