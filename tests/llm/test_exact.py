@@ -276,6 +276,16 @@ def test_pairs_of_a_bucket_that_share_a_passage_are_verified_where_they_meet(spa
     assert max(taken) <= 4 * len(lines)
 
 
+def test_anchors_of_very_many_lines_are_not_counted_again(spark, monkeypatch):
+    """All entries were made once more for it."""
+    calls = []
+    monkeypatch.setattr(line_dedup, "small", lambda df, real=line_dedup.small: (calls.append(1), real(df))[1])
+    monkeypatch.setattr(line_dedup, "LEAST", 1)
+    monkeypatch.setattr(line_dedup, "SAMPLED", 1)
+    lines = spark.createDataFrame([(k, [7, 100 + k], 9 + k) for k in range(40)], "h long, anchors array<int>, len int")
+    assert line_dedup.buckets(lines).where("key = 7").count() == 40 and len(calls) == 1
+
+
 def test_no_similar_pair_is_told_off_before_its_texts_are_read(spark):
     rng = random.Random(17)
     base = ["".join(rng.choice("aeiouäéklmnrst漢") for _ in range(rng.randrange(1, 8))) for _ in range(2000)]
