@@ -16,6 +16,7 @@ from lodestone.functions.information import finite, gain_bits
 from lodestone.operators import binning, features, mining, models, pairs
 from lodestone.operators.binning import ColumnBins
 from lodestone.operators.mining import Fit, Item, Pattern
+from lodestone.operators.quantiles import percentiles
 
 MODES = ("patterns_only", "original_plus_patterns", "original_plus_interactions")
 #: Levels of a category that become features; a column with more of them gives none, its patterns aside.
@@ -203,8 +204,7 @@ class PatternClassifier:
     def _originals(self, df: DataFrame, numeric: list[str]) -> list[Feature]:
         out = []
         if numeric:
-            med = df.agg(*(F.percentile(finite(c), F.lit(0.5)).alias(f"m{k}") for k, c in enumerate(numeric))).first()
-            med = [m if m is not None else 0.0 for m in med]
+            med = [(q or [0.0])[0] for q in percentiles(df, {c: finite(c) for c in numeric}, (0.5,)).values()]
             full = [F.coalesce(finite(c), F.lit(m)) for c, m in zip(numeric, med, strict=True)]
             s = df.agg(*(f(x) for x in full for f in (F.avg, F.stddev_pop))).first()
             out += [Feature("orig", c, "number", {"column": c, "median": med[k], "mean": s[2 * k], "std": s[2 * k + 1] or 1.0}, [c]) for k, c in enumerate(numeric)]

@@ -114,3 +114,25 @@ def test_resampled_classes_are_of_about_one_size(spark):
         counts = {r[0]: r[1] for r in tuning.resample(df, "id", how=how).groupBy("label").count().collect()}
         assert all(abs(n - size) < 0.15 * size for n in counts.values())
     assert {round(r.weight, 3) for r in tuning.class_weights(df).select("weight").distinct().collect()} == {0.556, 5.0}
+
+
+def test_percentiles_are_exact_and_gathered_by_no_task(spark, sf, monkeypatch):
+    from lodestone.operators import quantiles
+
+    at = [0.0, 0.1, 0.25, 0.5, 1 / 3, 0.9, 1.0]
+    u = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    df = spark.range(20000).select(
+        u.alias("even"), F.floor(u * 7).cast("double").alias("few"), F.when(F.col("id") == 5, 1e300).otherwise(u).alias("far"), F.lit(None).cast("double").alias("none"), F.lit(3.5).alias("one"),
+        (F.when(F.col("id") % 2 == 0, 1.0).otherwise(-1.0) * F.pow(F.lit(10.0), F.floor(600 * u) - 300)).alias("decades"), F.when(F.col("id") % 3 == 0, u * 1.7e308).otherwise(-u * 1.7e308).alias("wide"),
+    )
+    expected = df.agg(*(F.percentile(c, F.array(*map(F.lit, at))).alias(c) for c in df.columns)).first()
+    passes = []
+    monkeypatch.setattr(quantiles, "_range", lambda *a, f=quantiles._range: (passes.append(a[3]), f(*a))[1])
+    assert quantiles.percentiles(df, {c: F.col(c) for c in df.columns}, at) == {c: expected[c] for c in df.columns}
+    assert max(passes) < 12
+
+    def gathers(*_):
+        raise AssertionError("one task reads all distinct values of a column")
+
+    monkeypatch.setattr(F, "percentile", gathers)
+    assert profile.numeric_profile(table(spark, sf, "lineitem"), THREE).count() == 3
