@@ -101,10 +101,9 @@ class PatternClassifier:
         kept = [k for k, f in enumerate(self.features) if f.kept]
         self.weights = {}
         if kept and len(self.classes) > 1:
-            train = models.vectors(wide, [f"f{k}" for k in kept])
-            for y in self.classes[1:] if len(self.classes) == 2 else self.classes:
-                b, w = models.fit_logistic(train.withColumn("_is", (F.col("label") == y).cast("int")), "_is", len(kept), c=self.c)
-                self.weights[y] = [b, *w]
+            told = self.classes[1:] if len(self.classes) == 2 else self.classes
+            fitted = models.fit_all(wide, [F.col("label") == y for y in told], [f"f{k}" for k in kept], c=self.c)
+            self.weights = {y: [b, *w] for y, (b, w) in zip(told, fitted, strict=True)}
         wide.unpersist()
         self.features = [self.features[k] for k in kept]
         return self

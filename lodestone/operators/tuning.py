@@ -80,8 +80,7 @@ def evaluate(fit: mining.Fit, train: DataFrame, test: DataFrame, c: float, label
     if not fit.patterns:
         return 0.5
     names = [f"p{k}" for k in range(len(fit.patterns))]
-    x = lambda d: models.vectors(mining.pattern_columns(d, fit), names)
-    out = models.with_probability(x(train), x(test), label, "_p", c=c)
+    out = models.with_probability(mining.pattern_columns(train, fit), mining.pattern_columns(test, fit), label, "_p", names, c=c)
     return metrics.auc(out, label, "_p").first()["auc"] or 0.5
 
 

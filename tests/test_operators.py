@@ -136,3 +136,24 @@ def test_percentiles_are_exact_and_gathered_by_no_task(spark, sf, monkeypatch):
 
     monkeypatch.setattr(F, "percentile", gathers)
     assert profile.numeric_profile(table(spark, sf, "lineitem"), THREE).count() == 3
+
+
+def test_regressions_share_few_passes(spark, sf, monkeypatch):
+    from lodestone.operators import models
+
+    passes = []
+    monkeypatch.setattr(models, "_derivatives", lambda *a, f=models._derivatives: (passes.append(len(a[1])), f(*a))[1])
+    u = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1 << 30)) / float(1 << 30)
+    df = spark.range(20000).select(u(1).alias("a"), (100 * u(2)).alias("b"), u(3).alias("e")).withColumn("y", F.floor(F.col("a") + F.col("b") / 100 + F.col("e")).cast("int")).withColumn("t", (F.col("y") > 0).cast("int")).persist()
+    fitted = models.fit_all(df, [F.col("y") == k for k in range(3)], ["a", "b"], c=0.05)
+    assert len(passes) < 15 and max(passes) == 3
+    # At the optimum the loss's gradient is within the penalty, and on its border for weights other than 0.
+    for k, v in enumerate(fitted):
+        r = models.logistic(models.margin(["a", "b"], v)) - (F.col("y") == k).cast("double")
+        g = df.agg(F.sum(r), F.sum(r * F.col("a")), F.sum(r * F.col("b"))).first()
+        assert abs(g[0]) < 1e-3
+        assert all(abs(s + math.copysign(20, w)) < 1e-2 if w else abs(s) <= 20.01 for s, w in zip(g[1:], v[1], strict=True))
+    plain = models.fit_logistic(df, "t", ["a", "b"], l1=0.0)
+    wide = models.fit_logistic(df, "t", ["a", "b", *(F.lit(0.0) for _ in range(40))], l1=0.0)  # by Spark ML
+    assert all(math.isclose(p, q, rel_tol=1e-2) for p, q in zip([plain[0], *plain[1]], [wide[0], *wide[1][:2]], strict=True))
+    assert models.fit_logistic(df.withColumn("t", F.lit(1)), "t", ["a"])[1] == [0.0]
